@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from graphloam.operators.hotkeys import BUCKET, ROWS_PER_TASK, find_hot, with_buckets
 from graphloam.session import materialize
 
-EXISTS = "\u0000"  # name of the pseudo attribute that is there while the entity exists
-
 
 def pack_id(col: Column) -> Column:
     """Ids of hex digits take half the bytes in shuffles; others stay as they are."""
@@ -53,8 +51,11 @@ def _timeline(rows: DataFrame, part: list[str]) -> DataFrame:
 def _marked(timeline: DataFrame, part: list[str]) -> DataFrame:
     """Put rows, marked where a version starts and where one ends."""
     carried_cols = ["at", "commit", "next_at", "next_commit", "props", "own"]
-    attrs = F.map_concat(F.create_map(F.lit(EXISTS), F.lit("")), F.from_json("props", "map<string,string>"))
-    log = timeline.filter("put").select(*part, *carried_cols, F.explode(attrs).alias("attr", "value"))
+    # existence is an attribute too, without a name
+    exists = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("").alias("value")))
+    attrs = F.concat(exists, F.map_entries(F.from_json("props", "map<string,string>")))
+    log = timeline.filter("put").select(*part, *carried_cols, F.explode(attrs).alias("a"))
+    log = log.select(*part, *carried_cols, F.col("a.key").alias("attr"), F.col("a.value").alias("value"))
     # change log of each attribute: where its value begins and where it ends
     per_attr = W.partitionBy(*part, "attr").orderBy("at")
     begins = ~(F.lag("value").over(per_attr).eqNullSafe(F.col("value")) & F.lag("next_at").over(per_attr).eqNullSafe(F.col("at")))
