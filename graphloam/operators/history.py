@@ -2,15 +2,15 @@
 
 Input are whole states per entity and commit, in any order of arrival, repeated
 or late.  Each attribute gets a change log of its own: the stretches of commits
-over which it has one value.  The boundaries of all attributes of an entity,
-and of its existence, are united; between two boundaries nothing changes, and
-that stretch is a version.
+over which it has one value, kept as the commits at which it changes.  The
+boundaries of all attributes of an entity, and of its existence, are united;
+between two boundaries nothing changes, and that stretch is a version.
 
 Shape of the work: one shuffle by entity; everything after it (change logs of
 the attributes, union of their boundaries, coalescing) reuses that partitioning.
 An entity with more rows than a task should hold is cut into buckets of time;
-each bucket also gets the last row before it and the first one after it, which is
-all that a change log needs to be exact at a bucket's edge.
+each bucket also gets the commit before it, which is all that a change log needs
+to be exact at a bucket's edge.
 """
 
 from __future__ import annotations
@@ -37,37 +37,34 @@ def _entries(props: Column) -> Column:
 
 
 def _timeline(rows: DataFrame, part: list[str]) -> DataFrame:
-    """One row per entity and commit, with the commit that follows.
+    """One row per entity and commit with its state (null: deleted) and the
+    state before (``was``).
 
     Several rows of one entity in one commit: the one that arrived last holds
-    (then the greater text), so redelivered rows vanish.
+    (then a put, then the greater text), so redelivered rows vanish.
     """
-    last = W.partitionBy(*part, "at").orderBy(F.col("arrived").desc_nulls_last(), F.col("put").desc(), F.col("props").desc_nulls_last())
+    last = W.partitionBy(*part, "at").orderBy(F.col("arrived").desc_nulls_last(), F.col("state").desc_nulls_last())
     one = rows.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n", "arrived")
-    along = W.partitionBy(*part).orderBy("at")
-    return one.withColumn("next_at", F.lead("at").over(along)).withColumn("next_commit", F.lead("commit").over(along))
-
-
-def _marked(timeline: DataFrame, part: list[str]) -> DataFrame:
-    """Put rows, marked where a version starts and where one ends."""
-    carried_cols = ["at", "commit", "next_at", "next_commit", "props", "own"]
-    # existence is an attribute too, without a name
-    exists = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("").alias("value")))
-    attrs = F.concat(exists, F.map_entries(F.from_json("props", "map<string,string>")))
-    log = timeline.filter("put").select(*part, *carried_cols, F.explode(attrs).alias("a"))
-    log = log.select(*part, *carried_cols, F.col("a.key").alias("attr"), F.col("a.value").alias("value"))
-    # change log of each attribute: where its value begins and where it ends
-    per_attr = W.partitionBy(*part, "attr").orderBy("at")
-    begins = ~(F.lag("value").over(per_attr).eqNullSafe(F.col("value")) & F.lag("next_at").over(per_attr).eqNullSafe(F.col("at")))
-    ends = F.col("next_at").isNotNull() & ~F.lead("at").over(per_attr).eqNullSafe(F.col("next_at"))
-    log = log.withColumn("begins", begins).withColumn("ends", ends)
-    # boundaries of all attributes united per entity
-    first = [F.first(c).alias(c) for c in carried_cols if c != "at"]
-    states = log.groupBy(*part, "at").agg(F.max("begins").alias("begins"), F.max("ends").alias("ends"), *first)
-    along = W.partitionBy(*part).orderBy("at")
-    after_end = F.lag("ends").over(along) & F.lag("next_at").over(along).eqNullSafe(F.col("at"))
-    states = states.withColumn("starts", F.col("begins") | F.coalesce(after_end, F.lit(False)))
-    return states.withColumn("closes", F.col("ends") | F.coalesce(F.lead("starts").over(along), F.lit(True)))
+    return one.withColumn("was", F.lag("state").over(W.partitionBy(*part).orderBy("at")))
+
+
+def _changes(timeline: DataFrame, kept: list[str]) -> DataFrame:
+    """The change log: a row for each attribute that takes another value at a
+    commit (null: it ends).  Existence is an attribute too, without a name."""
+    now, then = (F.from_json(F.coalesce(c, F.lit("{}")), "map<string,string>") for c in ("state", "was"))
+    changed = timeline.filter(~F.col("state").eqNullSafe(F.col("was"))).withColumn("now", now).withColumn("then", then)
+    event = lambda k, v: F.struct(k.alias("attr"), v.alias("value"))
+    none = F.lit(None).cast("string")
+    begun = F.transform(F.filter(F.map_entries("now"), lambda e: ~F.try_element_at("then", e["key"]).eqNullSafe(e["value"])), lambda e: event(e["key"], e["value"]))
+    ended = F.transform(F.filter(F.map_keys("then"), lambda k: ~F.map_contains_key("now", k)), lambda k: event(k, none))
+    exists = F.when(F.col("state").isNull() != F.col("was").isNull(), F.array(event(none, F.when(F.col("state").isNotNull(), "")))).otherwise(F.array().cast("array<struct<attr:string,value:string>>"))
+    return changed.select(*kept, F.explode(F.concat(exists, begun, ended)).alias("e")).select(*kept, F.col("e.attr").alias("attr"), F.col("e.value").alias("value"))
+
+
+def _boundaries(timeline: DataFrame, part: list[str]) -> DataFrame:
+    """The dates at which any attribute changes, with the state from there on."""
+    log = _changes(timeline, [*part, "at", "commit", "state", "own"])
+    return log.groupBy(*part, "at").agg(*[F.first(c).alias(c) for c in ("commit", "state", "own")])
 
 
 def history(
@@ -98,59 +95,64 @@ def history(
     Commits repeated with other times hold their earliest one.  Null key parts
     are no entity.  Empty inputs give an empty result.
     """
-    log = commits.select(pack_id(F.col(commit_id)).alias("commit"), F.col(committed_at).alias("at")).filter("commit is not null and at is not null").groupBy("commit").agg(F.min("at").alias("at"))
-    rows = states.select(
-        *keys,
-        pack_id(F.col(commit)).alias("commit"),
-        (F.col(op) == "put").alias("put"),
-        _entries(F.col(properties)).alias("props"),
-        (F.col(arrived) if arrived else F.lit(None).cast("timestamp")).alias("arrived"),
-    ).filter(" and ".join(f"`{k}` is not null" for k in keys) + " and commit is not null and put is not null")
-    hot = find_hot(states.select(*keys), keys, states.count(), rows_per_task)
-
-    cold = hot.without(rows).join(log, "commit").withColumn("own", F.lit(True)).repartition(*keys)
-    found = _paired(_marked(_timeline(cold, keys), keys).filter("starts or closes"), keys)
+    rows, hot = _rows(states, commits, keys, commit, op, properties, arrived, commit_id, committed_at, rows_per_task)
+    cold = _boundaries(_timeline(rows(False).repartition(*keys), keys), keys)
+    found = _between(cold, keys)
     if hot:
-        found = found.unionByName(_hot_versions(hot.only(rows).join(log, "commit"), hot, keys))
-    return found.select(
+        found = found.unionByName(_hot_versions(rows(True), hot, keys))
+    return found.filter("state is not null").select(
         *keys,
-        F.from_json("props", "map<string,string>").alias("properties"),
+        F.from_json("state", "map<string,string>").alias("properties"),
         F.col("at").alias("valid_from"),
         unpack_id(F.col("commit")).alias("valid_from_id"),
-        F.col("to_at").alias("valid_to"),
-        F.coalesce(unpack_id(F.col("to_commit")), F.lit("")).alias("valid_to_id"),
+        F.col("next.at").alias("valid_to"),
+        F.coalesce(unpack_id(F.col("next.commit")), F.lit("")).alias("valid_to_id"),
     )
 
 
-def _paired(edges: DataFrame, part: list[str]) -> DataFrame:
-    """From rows that start or close a version to versions."""
-    along = W.partitionBy(*part).orderBy("at")
-    closing = lambda c: F.when(F.col("closes"), F.col(c)).otherwise(F.lead(c).over(along))
-    out = edges.withColumn("to_at", closing("next_at")).withColumn("to_commit", closing("next_commit"))
-    out = out.withColumn("open", ~F.col("closes") & F.lead("at").over(along).isNull())
-    return out.filter("starts").select(*part, "props", "at", "commit", "to_at", "to_commit", "open")
+def _rows(states, commits, keys, commit, op, properties, arrived, commit_id, committed_at, rows_per_task):
+    """The rows that have a place in the order, of hot or of other entities."""
+    log = commits.select(pack_id(F.col(commit_id)).alias("commit"), F.col(committed_at).alias("at")).filter("commit is not null and at is not null").groupBy("commit").agg(F.min("at").alias("at"))
+    placed = states.filter(" and ".join(f"`{k}` is not null" for k in [*keys, commit, op]))
+    hot = find_hot(placed.select(*keys), keys, states.count(), rows_per_task)
+    when = F.col(arrived) if arrived else F.lit(None).cast("timestamp")
+    cols = [pack_id(F.col(commit)).alias("commit"), F.when(F.col(op) == "put", _entries(F.col(properties))).alias("state"), when.alias("arrived"), F.lit(True).alias("own")]
+
+    def rows(of_hot: bool) -> DataFrame:
+        return (hot.only(placed) if of_hot else hot.without(placed)).select(*keys, *cols).join(log, "commit")
+
+    return rows, hot
+
+
+def _between(boundaries: DataFrame, part: list[str]) -> DataFrame:
+    """Each boundary with the one after it."""
+    return boundaries.withColumn("next", F.lead(F.struct("at", "commit")).over(W.partitionBy(*part).orderBy("at")))
 
 
 def _hot_versions(rows: DataFrame, hot, keys: list[str]) -> DataFrame:
     part = [*keys, BUCKET]
-    rows = materialize(with_buckets(rows, hot, "at").repartition(*part), "history-hot").withColumn("own", F.lit(True))
-    # the last row before a bucket and the first one after it; equal times share a bucket, so the
-    # times decide which rows these are (repeated deliveries of one commit come along)
-    span = rows.groupBy(*part).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    beside = W.partitionBy(*keys).orderBy(BUCKET)
-    need = span.select(*keys, F.col(BUCKET).alias("__to"), F.array(F.lag("hi").over(beside), F.lead("lo").over(beside)).alias("near"))
-    need = need.select(*keys, "__to", F.explode("near").alias("at")).filter("at is not null")
-    halo = rows.drop(BUCKET, "own").join(F.broadcast(need), [*keys, "at"]).withColumnRenamed("__to", BUCKET).withColumn("own", F.lit(False))
+    rows = materialize(with_buckets(rows, hot, "at").repartition(*part), "history-hot")
+    # the last commit before a bucket comes along; equal times share a bucket, so the time decides
+    # which rows these are (repeated deliveries of one commit too)
+    span = rows.groupBy(*part).agg(F.max("at").alias("hi"))
+    need = span.select(*keys, F.col(BUCKET).alias("__to"), F.lag("hi").over(W.partitionBy(*keys).orderBy(BUCKET)).alias("at")).filter("at is not null")
+    halo = rows.drop(BUCKET).join(F.broadcast(need), [*keys, "at"]).withColumnRenamed("__to", BUCKET).withColumn("own", F.lit(False))
     both = rows.unionByName(halo).repartition(*part)
-    # flags of own rows are exact; those of the halo are not and go
-    marked = _marked(_timeline(both, part), part).filter("own and (starts or closes)")
-    marked = materialize(marked, "history-marked")
-    # a version may span buckets: its end is the first closing row of a later bucket, which no start precedes
-    head = marked.groupBy(*part).agg(F.min_by(F.struct("next_at", "next_commit", "starts"), "at").alias("head"))
+    bounds = materialize(_boundaries(_timeline(both, part), part).filter("own"), "history-bounds")
+    # the boundary after a bucket's last one is the first of a later bucket
+    head = bounds.groupBy(*part).agg(F.min_by(F.struct("at", "commit"), "at").alias("head"))
     coming = head.select(*part, F.lead("head").over(W.partitionBy(*keys).orderBy(BUCKET)).alias("coming"))
-    out = _paired(marked, part).join(F.broadcast(coming), part, "left")
-    late = lambda c, name: F.when(F.col("open"), F.col(f"coming.{name}")).otherwise(F.col(c)).alias(c)
-    return out.select(*keys, "props", "at", "commit", late("to_at", "next_at"), late("to_commit", "next_commit"), "open")
+    return _between(bounds, part).join(F.broadcast(coming), part, "left").select(*keys, "at", "commit", "state", "own", F.coalesce("next", "coming").alias("next"))
+
+
+def attribute_log(states: DataFrame, commits: DataFrame, keys: list[str], *, commit: str = "commit_id", op: str = "op", properties: str = "properties", arrived: str | None = "arrived_at", commit_id: str = "id", committed_at: str = "committed_at") -> DataFrame:
+    """Every attribute's own change log: ``attr, value, valid_from, valid_to``
+    for each stretch over which it has one value (attr null: the entity exists).
+    For entities whose rows fit a task; ``history`` cuts larger ones."""
+    rows, _ = _rows(states, commits, keys, commit, op, properties, arrived, commit_id, committed_at, 1 << 62)
+    log = _changes(_timeline(rows(False).repartition(*keys), keys), [*keys, "at"])
+    until = F.lead("at").over(W.partitionBy(*keys, "attr").orderBy("at"))
+    return log.withColumn("valid_to", until).filter("value is not null").select(*keys, "attr", "value", F.col("at").alias("valid_from"), "valid_to")
 
 
 def as_of(versions: DataFrame, at: Column) -> DataFrame:

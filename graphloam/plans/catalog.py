@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloam.plans import problems
+from graphloam.plans import graph_queries, problems
+
+MODULES = (problems, graph_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return problems.p5_found(spark, sf)
+    return graph_queries.FLAGSHIP.run(spark, sf)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.ORACLE)
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
