@@ -256,7 +256,7 @@ class Compiler:
 
     def node_value(self, b: Node) -> Typed:
         props, kind = self._props(b)
-        col = F.struct(c(f"{b.prefix}_l").alias("_l"), c(f"{b.prefix}_k").alias("_k"), self.label_names(b).alias("labels"), props.alias("properties"))
+        col = F.struct(c(f"{b.prefix}_k").alias("_k"), c(f"{b.prefix}_l").alias("_l"), self.label_names(b).alias("labels"), props.alias("properties"))
         key = STR if self.graph.key_type == "string" else INT
         return Typed(F.when(c(f"{b.prefix}_k").isNotNull(), col), T("node", (("_k", key), ("_l", T("opaque", ("int",))), ("labels", list_of(STR)), ("properties", kind))))
 
@@ -264,7 +264,7 @@ class Compiler:
         props, kind = self._props(b)
         p = b.prefix
         name = self._name(self.graph.types, sorted({t.type for t in b.tables}), c(f"{p}_t"))
-        col = F.struct(c(f"{p}_t").alias("_l"), c(f"{p}_id").alias("_k"), name.alias("type"), *[c(f"{p}_{n}").alias(f"_{n}") for n in ("sl", "sk", "dl", "dk")], props.alias("properties"))
+        col = F.struct(*[c(f"{p}_{n}").alias(f"_{k}") for n, k in (("dk", "dk"), ("dl", "dl"), ("id", "k"), ("t", "l"), ("sk", "sk"), ("sl", "sl"))], props.alias("properties"), name.alias("type"))
         return Typed(F.when(c(f"{p}_id").isNotNull(), col), self.rel_type(kind))
 
     def rel_type(self, props: T) -> T:
@@ -1204,7 +1204,7 @@ class Pattern:
         return out
 
     def _oriented(self, prefix: str, forward: list[RelTable], backward: list[RelTable], props: dict[str, T]) -> DataFrame:
-        """Edges with ``_nl, _nk`` (the near end) and ``_fl, _fk`` (the far one).
+        """Edges with ``_n_l, _n_k`` (the near end) and ``_f_l, _f_k`` (the far one).
         A loop matched in both directions counts once."""
         both = bool(forward) and bool(backward)
 
@@ -1212,7 +1212,7 @@ class Pattern:
             df = self.graph.scan_rels(tables, prefix, props)
             if not loops:
                 df = df.filter((c(f"{prefix}_sl") != c(f"{prefix}_dl")) | (c(f"{prefix}_sk") != c(f"{prefix}_dk")))
-            return df.select("*", *[c(f"{prefix}_{end}{x}").alias(f"{prefix}_{to}{x}") for end, to in ((near, "n"), (far, "f")) for x in "lk"])
+            return df.select("*", *[c(f"{prefix}_{end}{x}").alias(f"{prefix}_{to}_{x}") for end, to in ((near, "n"), (far, "f")) for x in "lk"])
 
         if not both:
             return turned(forward, "s", "d", True) if forward or not backward else turned(backward, "d", "s", True)
@@ -1276,8 +1276,8 @@ class Pattern:
         if name in self.nodes:
             node = self.nodes[name]
             if len(labels) != 1 or node.labels != labels:
-                on.append(c(f"{node.prefix}_l") == c(f"{prefix}_{end}l"))
-            on.append(c(f"{node.prefix}_k") == c(f"{prefix}_{end}k"))
+                on.append(c(f"{node.prefix}_l") == c(f"{prefix}_{end}_l"))
+            on.append(c(f"{node.prefix}_k") == c(f"{prefix}_{end}_k"))
             return None
         node = Node(f"{prefix}_{end}", labels)
         self.nodes[name] = node
@@ -1345,7 +1345,7 @@ class Pattern:
         item = self.k.rel_value(step_binding)
         rel_col = self.k.fresh(rel.var or "rels")
         binding = Value(rel_col, list_of(item.type))
-        edges = edges.select(c(f"{p}_nl").alias("e.nl"), c(f"{p}_nk").alias("e.nk"), c(f"{p}_fl").alias("e.fl"), c(f"{p}_fk").alias("e.fk"), item.col.alias("e.rel"))
+        edges = edges.select(c(f"{p}_n_l").alias("e.nl"), c(f"{p}_n_k").alias("e.nk"), c(f"{p}_f_l").alias("e.fl"), c(f"{p}_f_k").alias("e.fk"), item.col.alias("e.rel"))
         # the frame to start from
         if na not in self.nodes:
             if na in self.outer:

@@ -84,7 +84,7 @@ def ddl(t: T) -> str:
     if t.kind == "opaque":
         return t.of
     if t.kind in ("map", "node", "rel"):
-        return "struct<" + ",".join(f"`{k}`:{ddl(v)}" for k, v in t.args) + ">"
+        return "struct<" + (",".join(f"`{k}`:{ddl(v)}" for k, v in t.args) or "``:string") + ">"
     raise Unsupported(f"no values of type {t}")
 
 

@@ -191,7 +191,7 @@ case("registry_certificate_sweep", "MATCH (h:Host)-[:HAS_CERT]->(c:Certificate)
 case("registry_orphaned_software", "MATCH (s:Software) WHERE NOT (:Host)-[:RUNS]->(s) RETURN s.name AS name", f"with {_LATEST} select node_key as name from live where label = 'Software' and node_key not in (select dst_key from e where rtype = 'RUNS')", graph="registry")
 case("registry_hosts_by_os", "MATCH (h:Host {os: 'openfen'}) RETURN count(*) AS n", f"with {_LATEST} select count(*) as n from live where label = 'Host' and p['os'] = 'openfen'", graph="registry")
 case("registry_critical_hosts", "MATCH (h:Host)-[:RUNS]->(s:Software)-[:SUPPLIED_BY]->(v:Supplier {country: 'NO'}) WHERE h.criticality >= 4 RETURN count(DISTINCT h) AS hosts", f"with {_LATEST} select count(distinct h.node_key) as hosts from live h join e r on h.label = 'Host' and r.rtype = 'RUNS' and r.src_key = h.node_key join e s on s.rtype = 'SUPPLIED_BY' and s.src_key = r.dst_key join live v on v.label = 'Supplier' and v.node_key = s.dst_key where v.p['country'] = 'NO' and try_cast(h.p['criticality'] as bigint) >= 4", graph="registry")
-case("registry_blast_radius", "MATCH (v:Supplier {country: 'NO'})<-[:SUPPLIED_BY]-(s:Software) OPTIONAL MATCH (d:Software)-[:DEPENDS_ON*0..2]->(s) OPTIONAL MATCH (h:Host)-[:RUNS]->(d) RETURN count(DISTINCT h) AS hosts", f"with {_LATEST}, s0 as (select distinct src_key k from e join live v on v.label = 'Supplier' and v.node_key = dst_key where rtype = 'SUPPLIED_BY' and v.p['country'] = 'NO'), d1 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from s0)), d2 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d1)) select count(distinct src_key) as hosts from e where rtype = 'RUNS' and dst_key in (select k from s0 union select k from d1 union select k from d2)", graph="registry")
+case("registry_blast_radius", "MATCH (v:Supplier {country: 'NO'})<-[:SUPPLIED_BY]-(s:Software) OPTIONAL MATCH (d:Software)-[:DEPENDS_ON*0..3]->(s) OPTIONAL MATCH (h:Host)-[:RUNS]->(d) RETURN count(DISTINCT h) AS hosts", f"with {_LATEST}, s0 as (select distinct src_key k from e join live v on v.label = 'Supplier' and v.node_key = dst_key where rtype = 'SUPPLIED_BY' and v.p['country'] = 'NO'), d1 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from s0)), d2 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d1)) select count(distinct src_key) as hosts from e where rtype = 'RUNS' and dst_key in (select k from s0 union select k from d1 union select k from d2)", graph="registry")
 case("registry_secondary_label", "MATCH (n:Edge) RETURN labels(n)[0] AS l, count(*) AS n", f"with {_LATEST} select label as l, count(*) as n from live where list_contains(sl, 'Edge') group by label", graph="registry")
 case("registry_ancestors", "MATCH (c:Commit)-[:PARENT*1..3]->(a:Commit) RETURN a.id AS id, count(*) AS n", "with p as (select distinct id a, unnest(parents) b from log_entry), p1 as (select a, b from p), p2 as (select x.a, y.b from p x join p y on x.b = y.a), p3 as (select x.a, y.b from p2 x join p y on x.b = y.a) select b as id, count(*) as n from (select * from p1 union all select * from p2 union all select * from p3) group by b", graph="registry")
 
