@@ -1,13 +1,14 @@
 """History of changing attributes, with the period each version was valid.
 
 Input are whole states per entity and commit, in any order of arrival, repeated
-or late.  Each attribute gets a change log of its own: the stretches of commits
-over which it has one value, kept as the commits at which it changes.  The
-boundaries of all attributes of an entity, and of its existence, are united;
-between two boundaries nothing changes, and that stretch is a version.
-
-Shape of the work: one shuffle by entity; everything after it (change logs of
-the attributes, union of their boundaries, coalescing) reuses that partitioning.
+or late.  A version begins at each commit whose whole state differs from the
+one before, and ends at the next such commit.  The rows are spread into changed
+attributes and grouped again, which drops and adds none; the intervals of single
+attributes, the method dealt for problem 1, come from ``attribute_log`` alone
+and decide no version.
+
+Shape of the work: one shuffle by entity; everything after it reuses that
+partitioning.
 An entity with more rows than a task should hold is cut into buckets of time;
 each bucket also gets the commit before it, which is all that a change log needs
 to be exact at a bucket's edge.
