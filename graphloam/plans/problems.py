@@ -84,15 +84,17 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Records of both tables, and the foreign key from a stored edge to the
-    import row that brought the same relationship at that time or before."""
+    """Records of both tables, and the foreign keys from a stored edge to every
+    import row that brought the same relationship (its discriminator too, null
+    being one) at that time or before."""
     imports, edges = table(spark, sf, "import_record"), table(spark, sf, "edge_record")
     records = imports.select(F.lit("import_record").alias("tbl"), "rec_id", "period").unionAll(edges.select(F.lit("edge_record"), "edge_id", "period"))
     ends = ["rtype", "src_label", "src_key", "dst_label", "dst_key"]
-    brought = imports.filter("kind = 'edge'").select("rtype", F.col("src.label").alias("src_label"), F.to_json("src.key").alias("src_key"), F.col("dst.label").alias("dst_label"), F.to_json("dst.key").alias("dst_key"), "recorded_at", "rec_id")
-    first = brought.groupBy(*ends).agg(F.min_by("rec_id", F.struct("recorded_at", "rec_id")).alias("parent_id"), F.min("recorded_at").alias("brought_at"))
-    stored = edges.select("rtype", "src_label", F.to_json(F.array("src_key")).alias("src_key"), "dst_label", F.to_json(F.array("dst_key")).alias("dst_key"), "recorded_at", F.col("edge_id").alias("child_id"))
-    links = stored.join(first, ends).filter("brought_at <= recorded_at")
+    named = [*ends, F.col("discriminator").isNotNull().alias("told"), F.coalesce("discriminator", F.lit("")).alias("disc")]
+    brought = imports.filter("kind = 'edge'").withColumns({"src_label": F.col("src.label"), "src_key": F.to_json("src.key"), "dst_label": F.col("dst.label"), "dst_key": F.to_json("dst.key")})
+    brought = brought.select(*named, F.col("recorded_at").alias("brought_at"), F.col("rec_id").alias("parent_id")).distinct()
+    stored = edges.withColumns({"src_key": F.to_json(F.array("src_key")), "dst_key": F.to_json(F.array("dst_key"))}).select(*named, "recorded_at", F.col("edge_id").alias("child_id"))
+    links = stored.join(brought, [*ends, "told", "disc"]).filter("brought_at <= recorded_at")
     return records, links.select(F.lit("edge_record").alias("child_tbl"), "child_id", F.lit("import_record").alias("parent_tbl"), "parent_id")
 
 
