@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloam.cypher import ast as A
 from graphloam.cypher.errors import BindError, CypherTypeError, Unsupported
 from graphloam.cypher.graph import Graph, RelTable, did_you_mean
-from graphloam.cypher.types import BOOL, FLOAT, INT, MISSING, NULL, PATH, STR, T, Typed, cast, ddl, list_of, of_spark, unify
+from graphloam.cypher.types import BOOL, FLOAT, INT, NULL, STR, T, Typed, cast, ddl, list_of, of_spark, unify
 from graphloam.functions import semantics as M
 from graphloam.functions.scalar import FUNCTIONS, length_of
+from graphloam.session import materialize
 
 AGGREGATES = ("count", "sum", "avg", "min", "max", "collect")
 ALL = "*"
@@ -146,6 +147,10 @@ class Needs:
                         stack.append(item.expr)
                 stack.extend(o.expr for o in x.order if not isinstance(o.expr, A.Var))
                 stack.extend(e for e in (x.skip, x.limit, x.where) if e is not None)
+            elif isinstance(x, A.Path):
+                if x.var:
+                    self.links.extend((x.var, part.var) for part in (*x.nodes, *x.rels) if part.var)
+                stack.extend((*x.nodes, *x.rels))
             elif isinstance(x, (A.NodePat, A.RelPat)):
                 if x.var and isinstance(x.props, A.MapLit):
                     for k, _ in x.props.items:
@@ -178,6 +183,7 @@ class Compiler:
         self.df: DataFrame | None = None
         self.scope: Scope = {}
         self.needs: Needs | None = None
+        self.as_set = False  # how often a row comes makes no difference to the result
 
     # -- helpers
 
@@ -197,8 +203,12 @@ class Compiler:
 
     def run(self, query: A.Query) -> DataFrame:
         self.needs = Needs(query)
-        for clause in query.clauses:
+        as_sets = _as_sets(query.clauses)
+        for i, clause in enumerate(query.clauses):
+            self.as_set = as_sets[i]
             self.clause(clause)
+            if self.as_set and isinstance(clause, A.Match) and any(isinstance(x, A.Match) and x.paths and any(p.rels for p in x.paths) for x in query.clauses[i + 1 :]):
+                self.narrow(query.clauses[i + 1 :])
         last = query.clauses[-1]
         if isinstance(last, A.Project):
             return self.df
@@ -218,6 +228,19 @@ class Compiler:
         else:
             raise Unsupported(f"{type(clause).__name__} needs a session that can write")
 
+    def narrow(self, rest: tuple[A.Clause, ...]) -> None:
+        """Drop variables that no later clause reads, and rows that differ in
+        them alone: what follows looks at rows as a set."""
+        if any(isinstance(x, A.Project) and x.star for x in rest):
+            return
+        read = {n for clause in rest for n in _names(clause)}
+        kept = {n: b for n, b in self.scope.items() if n in read}
+        columns = list(dict.fromkeys(x for b in kept.values() for x in b.columns()))
+        if kept and len(kept) < len(self.scope) and columns:
+            keys = list(dict.fromkeys(x for b in kept.values() for x in _identity(b)))
+            self.df = self.df.select(*[c(x) for x in columns]).dropDuplicates(keys)
+            self.scope = kept
+
     def lookup(self, name: str, scope: Scope):
         if name not in scope:
             raise BindError(f"unknown variable {name}" + did_you_mean(name, scope))
@@ -615,18 +638,23 @@ class Compiler:
         for _ in range(3):  # the accumulator's type may widen
             seen: list[T] = []
 
-            def step(acc: Column, x: Column, t=t, seen=seen) -> Column:
-                r = self.expr(e.result, self._local(scope, **{e.acc: Typed(acc, t), e.var: Typed(x, v.type.of)}))
-                both = unify([t, r.type], "reduce")
-                seen.append(both)
-                return cast(r, both)
-
-            out = F.aggregate(v.col, cast(init, t), step)
+            out = F.aggregate(v.col, cast(init, t), self._fold_step(e, scope, v.type.of, t, seen))
             if seen[0] == t:
                 return Typed(out, t)
             t = seen[0]
         raise Unsupported("reduce with an accumulator of changing type")
 
+    def _fold_step(self, e: A.Reduce, scope: Scope, of: T, t: T, seen: list[T]) -> Callable[[Column, Column], Column]:
+        """One step of a fold whose accumulator has the type *t*; *seen* gets the type it should have."""
+
+        def step(acc: Column, x: Column) -> Column:
+            r = self.expr(e.result, self._local(scope, **{e.acc: Typed(acc, t), e.var: Typed(x, of)}))
+            both = unify([t, r.type], "reduce")
+            seen.append(both)
+            return cast(r, both)
+
+        return step
+
     # -- pattern expressions: joined to the frame, read as a column
 
     def x_patternpred(self, e: A.PatternPred, scope: Scope) -> Typed:
@@ -644,16 +672,17 @@ class Compiler:
         if any(r.hops for r in e.path.rels):
             raise Unsupported("variable-length pattern predicates")
         p = Pattern(self, scope)
+        p.rels = list(e.path.rels)
         p.add(e.path)
-        p.finish(outer_values=True)
         return p
 
     def x_patterncomp(self, e: A.PatternComp, scope: Scope) -> Typed:
-        p = Pattern(self, scope)
+        p, as_set, self.as_set = Pattern(self, scope), self.as_set, False
+        p.rels = list(e.path.rels)
         p.add(e.path)
-        p.finish()
+        self.as_set = as_set
         inner = p.inner_scope()
-        used = [x for x in A.walk(e) if isinstance(x, A.Var) and x.name in scope and (x.name not in p.holes or True)]
+        used = [x for x in A.walk(e) if isinstance(x, A.Var) and x.name in scope]
         outer_names = sorted({x.name for x in used if not isinstance(scope[x.name], Typed)})
         if any(isinstance(scope[x.name], Typed) for x in used):
             raise Unsupported("a pattern comprehension that reads a list element")
@@ -710,9 +739,9 @@ class Compiler:
     def _match(self, m: A.Match) -> None:
         outer = dict(self.scope)
         p = Pattern(self, outer, optional=m.optional)
+        p.rels = [r for path in m.paths for r in path.rels]
         for path in m.paths:
             p.add(path)
-        p.finish()
         inner = p.inner_scope()
         if not m.optional:
             if p.df is not None:
@@ -732,7 +761,7 @@ class Compiler:
         for e in _conjuncts(m.where):
             names = {x.name for x in A.walk(e) if isinstance(x, A.Var)} | {part.var for x in A.walk(e) if isinstance(x, A.Path) for part in (*x.nodes, *x.rels) if part.var}
             patterns = any(isinstance(x, (A.PatternPred, A.PatternComp)) for x in A.walk(e))
-            if patterns and not names - set(both) <= set() or patterns and any(n in outer and n not in p.holes for n in names):
+            if patterns and (names - set(both) or any(n in outer and n not in p.holes for n in names)):
                 raise Unsupported("a pattern in OPTIONAL MATCH ... WHERE that reads other variables")
             if patterns or not (names & set(outer)):
                 self.filter(e, sub_scope)
@@ -1016,6 +1045,9 @@ class Pattern:
         self.extra: list[Column] = []  # conditions that need the frame
         self.used: list = []  # relationships of the clause, for uniqueness
         self.anonymous = itertools.count()
+        self.whole = False  # the path being added is read with all that its parts have
+        self.named = False  # it has a name
+        self.rels: list[A.RelPat] = []  # all relationships of the clause
 
     # -- results
 
@@ -1038,10 +1070,6 @@ class Pattern:
             out += [c(x) == c(y) for x, y in zip(theirs, mine)]
         return out + self.extra
 
-    def finish(self, outer_values: bool = False) -> None:
-        if self.df is None and not self.holes and not self.extra and self.new:
-            raise AssertionError("pattern without a frame")
-
     # -- building
 
     def _join(self, df: DataFrame, on: list[Column]) -> None:
@@ -1065,6 +1093,8 @@ class Pattern:
         bound_nodes: list[Node] = []
         bound_rels: list = []
         first = self._node_name(path.nodes[0])
+        self.named = path.var is not None
+        self.whole = bool(path.var and self.k.needs and {ALL} & (self.k.needs.get(path.var) | self.k.needs.get(ALL)))
         if not path.rels:
             bound_nodes.append(self._alone(first, path.nodes[0]))
         else:
@@ -1074,18 +1104,11 @@ class Pattern:
                 nb = self._node_name(b)
                 bound_rels.append(self._hop(na, a, rel, nb, b))
                 if i == 0:
-                    bound_nodes.append(self.nodes[na])
-                bound_nodes.append(self.nodes[nb])
+                    bound_nodes.append(self.outer.get(na, self.nodes[na]))
+                bound_nodes.append(self.outer.get(nb, self.nodes[nb]))
+        self.whole = False
         if path.var:
-            names = [n.var for n in path.nodes]
-            final = [self._latest(x, n) for x, n in zip(bound_nodes, names)]
-            self.new[path.var] = Path(tuple(final), tuple(bound_rels), self.k.fresh(path.var))
-
-    def _latest(self, node: Node, var: str | None) -> Node:
-        for name, b in self.nodes.items():
-            if b.prefix == node.prefix:
-                return b
-        return node
+            self.new[path.var] = Path(tuple(bound_nodes), tuple(bound_rels), self.k.fresh(path.var))
 
     def _node_name(self, n: A.NodePat) -> str:
         if n.var is None:
@@ -1103,7 +1126,7 @@ class Pattern:
 
     def _need(self, n: A.NodePat | A.RelPat) -> set[str]:
         need = set(self.k.needs.get(n.var)) if n.var and self.k.needs else set()
-        if n.var and self.k.needs and self.k.needs.get(ALL):
+        if self.whole or n.var and self.k.needs and self.k.needs.get(ALL):
             need.add(ALL)
         if isinstance(n.props, A.MapLit):
             need |= {k for k, _ in n.props.items}
@@ -1227,11 +1250,9 @@ class Pattern:
         used_tables = [by_id[t] for t in tables]
         known = self.graph.rel_props(used_tables)
         need = self._need(rel)
-        if self._in_path(rel):
-            need.add(ALL)
         props = known if ALL in need else {k: known[k] for k in sorted(need) if k in known}
         if rel.hops is not None:
-            return self._var_length(na, a, rel, nb, b, forward, backward, props)
+            return self._var_length(na, a, rel, nb, b)
         prefix = self.k.fresh(rel.var or "r")
         edges = self._oriented(prefix, forward, backward, props)
         binding = Rel(prefix, tuple(used_tables), tuple(props.items()))
@@ -1260,9 +1281,6 @@ class Pattern:
                 self.new[rel.var] = binding
         return binding
 
-    def _in_path(self, rel: A.RelPat) -> bool:
-        return False
-
     def _end_labels(self, forward: list[RelTable], backward: list[RelTable], near: bool) -> tuple[str, ...]:
         fw = {t.src_label if near else t.dst_label for t in forward}
         bw = {t.dst_label if near else t.src_label for t in backward}
@@ -1326,26 +1344,41 @@ class Pattern:
 
     # -- variable length
 
-    def _var_length(self, na: str, a: A.NodePat, rel: A.RelPat, nb: str, b: A.NodePat, forward, backward, props) -> Value:
+    def _var_length(self, na: str, a: A.NodePat, rel: A.RelPat, nb: str, b: A.NodePat) -> Value:
         if rel.var and rel.var in self.outer:
-            raise Unsupported("a variable-length relationship that is bound before")
+            return self._pinned(na, a, rel, nb, b)
         lo, hi = rel.hops
+        direction = rel.direction
+        known_ends = {*self.nodes, *self.outer}
+        turned = na not in known_ends and nb in known_ends
+        if turned:  # walk from the end that is bound
+            na, a, nb, b = nb, b, na, a
+            direction = {"in": "out", "out": "in"}.get(direction, direction)
         # inner nodes are free: every table of the type can serve within
         every = [t for t in self.graph.rels if not rel.types or t.type in rel.types]
-        fw, bw = (every if rel.direction != "in" else []), (every if rel.direction != "out" else [])
+        fw, bw = (every if direction != "in" else []), (every if direction != "out" else [])
         p = self.k.fresh("step")
         known = self.graph.rel_props(every)
-        props = known if ALL in self._need(rel) else {k: v for k, v in known.items() if k in self._need(rel)}
+        need = self._need(rel)
+        tested = {k for k, _ in rel.props.items} if isinstance(rel.props, A.MapLit) else set(known) if rel.props is not None else set()
+        props = known if ALL in need else {k: v for k, v in known.items() if k in need | tested}
         step_binding = Rel(p, tuple(every), tuple(props.items()))
         edges = self._oriented(p, fw, bw, props)
         for cond in self._prop_conditions(step_binding, rel.props):
             if rel.props is not None and any(isinstance(x, A.Var) and x.name in self.outer for x in A.walk(rel.props)):
                 raise Unsupported("properties of a variable-length relationship that read variables")
             edges = edges.filter(cond)
-        item = self.k.rel_value(step_binding)
+        # as a set of pairs, walks of at most hi steps reach what trails do: a shortest walk repeats no relationship
+        ends_only = self.k.as_set and not rel.var and not self.named and lo <= 1 and direction != "both" and not self._shared_type(rel)
+        if rel.var or self.whole:
+            item = self.k.rel_value(step_binding)
+        else:
+            full = self.k.rel_type(T("map", ())).fields
+            item = Typed(F.struct(c(f"{p}_id").alias("_k"), c(f"{p}_t").alias("_l")), T("rel", (("_k", full["_k"]), ("_l", full["_l"]))))
         rel_col = self.k.fresh(rel.var or "rels")
         binding = Value(rel_col, list_of(item.type))
-        edges = edges.select(c(f"{p}_n_l").alias("e.nl"), c(f"{p}_n_k").alias("e.nk"), c(f"{p}_f_l").alias("e.fl"), c(f"{p}_f_k").alias("e.fk"), item.col.alias("e.rel"))
+        cols = [c(f"{p}_n_l").alias("e.nl"), c(f"{p}_n_k").alias("e.nk"), c(f"{p}_f_l").alias("e.fl"), c(f"{p}_f_k").alias("e.fk")]
+        edges = edges.select(*cols).distinct() if ends_only else edges.select(*cols, item.col.alias("e.rel"))
         # the frame to start from
         if na not in self.nodes:
             if na in self.outer:
@@ -1367,11 +1400,13 @@ class Pattern:
         if hi is not None and hi < lo:
             self.df = base.limit(0)
         elif hi is not None and hi <= UNROLLED:
-            self.df = self._unrolled(base, edges, rel_col, end, lo, hi)
+            self.df = self._unrolled(base, edges, rel_col, end, lo, hi, ends_only)
         else:
-            self.df = self._recursive(base, edges, rel_col, end, start, lo, hi, item.type)
-        labels = tuple(sorted({x for t in every for x in ((t.dst_label,) if rel.direction == "out" else (t.src_label,) if rel.direction == "in" else (t.src_label, t.dst_label))} | (set(start.labels) if lo == 0 else set())))
-        if nb in self.nodes and nb != na or nb == na:
+            self.df = self._looped(base, edges, rel_col, end, start, lo, hi, ends_only)
+        if turned and (rel.var or self.whole):
+            self.df = self.df.withColumn(rel_col, F.reverse(c(rel_col)))
+        labels = tuple(sorted({x for t in every for x in ((t.dst_label,) if direction == "out" else (t.src_label,) if direction == "in" else (t.src_label, t.dst_label))} | (set(start.labels) if lo == 0 else set())))
+        if nb in self.nodes:
             node = self.nodes[nb]
             self.df = self.df.filter((c(f"{end}_l") == c(f"{node.prefix}_l")) & (c(f"{end}_k") == c(f"{node.prefix}_k")))
             self._require(nb, b)
@@ -1386,7 +1421,50 @@ class Pattern:
             self.new[rel.var] = binding
         return binding
 
-    def _unrolled(self, base: DataFrame, edges: DataFrame, rel_col: str, end: str, lo: int, hi: int) -> DataFrame:
+    def _shared_type(self, rel: A.RelPat) -> bool:
+        """Another relationship of the clause could be one of these."""
+        others = list(self.rels)
+        others.remove(rel)
+        return any(not rel.types or not r.types or set(rel.types) & set(r.types) for r in others)
+
+    def _pinned(self, na: str, a: A.NodePat, rel: A.RelPat, nb: str, b: A.NodePat) -> Value:
+        """A walk along relationships that are bound before: the list is the walk."""
+        bound = self.outer[rel.var]
+        if not isinstance(bound, Value) or bound.type.kind != "list" or bound.type.of.kind not in ("rel", "null"):
+            raise BindError(f"{rel.var} is no list of relationships")
+        lo, hi = rel.hops
+        every = [t for t in self.graph.rels if not rel.types or t.type in rel.types]
+        if na not in self.outer and na not in self.nodes:
+            self._alone(na, a)
+        elif na in self.nodes:
+            self._require(na, a)
+        start = self.nodes.get(na) or self.outer[na]
+        if start is self.outer.get(na):
+            self.extra += self._label_conditions(start, a.labels) + self._prop_conditions(start, a.props)
+        codes = F.array(*[F.lit(self.graph.type_code(x)) for x in sorted({t.type for t in every})]).cast("array<int>")
+        walk, n = c(bound.col), F.size(c(bound.col))
+        at = F.struct(c(f"{start.prefix}_l").alias("l"), c(f"{start.prefix}_k").alias("k"), F.lit(True).alias("ok"))
+
+        def step(acc: Column, r: Column) -> Column:
+            out = (acc["l"] == r["_sl"]) & (acc["k"] == r["_sk"]) & F.lit(rel.direction != "in")
+            back = (acc["l"] == r["_dl"]) & (acc["k"] == r["_dk"]) & F.lit(rel.direction != "out")
+            far = lambda x, y: F.when(out, r[x]).otherwise(r[y])
+            return F.struct(far("_dl", "_sl").alias("l"), far("_dk", "_sk").alias("k"), (acc["ok"] & (out | back) & F.array_contains(codes, r["_l"])).alias("ok"))
+
+        met = F.aggregate(walk, at, step)
+        self.extra.append((n >= lo) & (n <= hi if hi is not None else F.lit(True)) & met["ok"])
+        end = self.nodes.get(nb) or self.outer.get(nb)
+        if end is None:
+            self._alone(nb, b)
+            end = self.nodes[nb]
+        else:
+            self.extra += self._label_conditions(end, b.labels) + self._prop_conditions(end, b.props)
+        self.extra.append((met["l"] == c(f"{end.prefix}_l")) & (met["k"] == c(f"{end.prefix}_k")))
+        self.nodes.setdefault(na, start)
+        self.nodes.setdefault(nb, end)
+        return bound
+
+    def _unrolled(self, base: DataFrame, edges: DataFrame, rel_col: str, end: str, lo: int, hi: int, ends_only: bool) -> DataFrame:
         """One join per hop, the frames of all allowed lengths together."""
         out, now = [], base
         if lo == 0:
@@ -1394,34 +1472,50 @@ class Pattern:
         for hop in range(1, hi + 1):
             on = (c(f"{end}_l") == c("e.nl")) & (c(f"{end}_k") == c("e.nk"))
             now = now.join(edges, on)
-            if hop > 1:
-                now = now.filter(~F.exists(c(rel_col), lambda r: (r["_l"] == c("e.rel")["_l"]) & (r["_k"] == c("e.rel")["_k"])))
-            now = now.withColumns({rel_col: F.concat(c(rel_col), F.array(c("e.rel"))), f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop("e.nl", "e.nk", "e.fl", "e.fk", "e.rel")
+            if ends_only:
+                now = now.withColumns({f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop("e.nl", "e.nk", "e.fl", "e.fk").distinct()
+            else:
+                if hop > 1:
+                    now = now.filter(~F.exists(c(rel_col), lambda r: (r["_l"] == c("e.rel")["_l"]) & (r["_k"] == c("e.rel")["_k"])))
+                now = now.withColumns({rel_col: F.concat(c(rel_col), F.array(c("e.rel"))), f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop("e.nl", "e.nk", "e.fl", "e.fk", "e.rel")
             if hop >= lo:
                 out.append(now)
         result = out[0]
         for f in out[1:]:
             result = result.unionByName(f)
-        return result
-
-    def _recursive(self, base: DataFrame, edges: DataFrame, rel_col: str, end: str, start: Node, lo: int, hi: int | None, item: T) -> DataFrame:
-        """A recursive query from the distinct start nodes; its limits on levels
-        and rows are the session's, and reaching them raises."""
-        tag = self.k.fresh("walk").replace("#", "_")
-        e_view, s_view = f"{tag}_e", f"{tag}_s"
-        edges.toDF("nl", "nk", "fl", "fk", "rel").createOrReplaceTempView(e_view)
-        seeds = self.df.select(c(f"{start.prefix}_l").alias("sl"), c(f"{start.prefix}_k").alias("sk")).distinct()
-        seeds.createOrReplaceTempView(s_view)
-        kind = ddl(item)
-        bound = f"and w.n < {hi}" if hi is not None else ""
-        walked = self.k.spark.sql(
-            f"""with recursive w(sl, sk, fl, fk, rels, n) as (
-              select sl, sk, sl, sk, cast(array() as array<{kind}>), 0 from {s_view}
-              union all
-              select w.sl, w.sk, e.fl, e.fk, concat(w.rels, array(e.rel)), w.n + 1 from w join {e_view} e
-                on w.fl = e.nl and w.fk = e.nk {bound} and not exists(w.rels, r -> r._l = e.rel._l and r._k = e.rel._k))
-            select sl as `w.sl`, sk as `w.sk`, fl as `w.fl`, fk as `w.fk`, rels as `w.rels` from w where n >= {lo}"""
-        )
+        return result.distinct() if ends_only and len(out) > 1 else result
+
+    def _looped(self, base: DataFrame, edges: DataFrame, rel_col: str, end: str, start: Node, lo: int, hi: int | None, ends_only: bool) -> DataFrame:
+        """Walks of any length: the newest ones, as a written table, grow by one
+        hop a round until none grows or *hi* is reached.  No limit on rounds or
+        rows is set; trails end because no relationship comes twice, sets of
+        ends because a pair once reached is not followed again."""
+        edges = materialize(edges, "walk-edges")
+        seeds = self.df.select(c(f"{start.prefix}_l").alias("w.sl"), c(f"{start.prefix}_k").alias("w.sk")).distinct()
+        now = materialize(seeds.select("*", c("w.sl").alias("w.fl"), c("w.sk").alias("w.fk"), F.array().cast(base.schema[rel_col].dataType).alias("w.rels")), "walk")
+        pair = ["w.sl", "w.sk", "w.fl", "w.fk"]
+        out, hop = ([now] if lo == 0 else []), 0
+        seen = now if lo == 0 else now.limit(0)
+        while hi is None or hop < hi:
+            hop += 1
+            grown = now.join(edges, (c("w.fl") == c("e.nl")) & (c("w.fk") == c("e.nk")))
+            if ends_only:
+                grown = grown.select(c("w.sl"), c("w.sk"), c("e.fl").alias("w.fl"), c("e.fk").alias("w.fk"), c("w.rels")).dropDuplicates(pair)
+                old = seen.select(*[c(x).alias(x.replace("w.", "o.")) for x in pair])
+                grown = grown.join(old, _all([c(x) == c(x.replace("w.", "o.")) for x in pair]), "left_anti")
+            else:
+                grown = grown.filter(~F.exists(c("w.rels"), lambda r: (r["_l"] == c("e.rel")["_l"]) & (r["_k"] == c("e.rel")["_k"])))
+                grown = grown.select(c("w.sl"), c("w.sk"), c("e.fl").alias("w.fl"), c("e.fk").alias("w.fk"), F.concat(c("w.rels"), F.array(c("e.rel"))).alias("w.rels"))
+            now = materialize(grown, "walk")
+            if now.isEmpty():
+                break
+            if ends_only:
+                seen = seen.unionByName(now)
+            if hop >= lo:
+                out.append(now)
+        walked = out[0] if out else now.limit(0)
+        for f in out[1:]:
+            walked = walked.unionByName(f)
         on = (c(f"{start.prefix}_l") == c("w.sl")) & (c(f"{start.prefix}_k") == c("w.sk"))
         joined = base.join(walked, on)
         return joined.withColumns({rel_col: c("w.rels"), f"{end}_l": c("w.fl"), f"{end}_k": c("w.fk")}).drop("w.sl", "w.sk", "w.fl", "w.fk", "w.rels")
@@ -1460,6 +1554,35 @@ def _same(x, y) -> Column:
     return out
 
 
+def _names(tree) -> set[str]:
+    """Variables that a clause reads or binds."""
+    out = set()
+    for x in A.walk(tree):
+        if isinstance(x, A.Var):
+            out.add(x.name)
+        elif isinstance(x, A.Path):
+            out |= {part.var for part in (*x.nodes, *x.rels) if part.var}
+    return out
+
+
+def _as_sets(clauses) -> list[bool]:
+    """For each clause whether repetitions among the rows it makes can be told
+    by the result: not if a DISTINCT or aggregates blind to them come first."""
+    out, blind = [False] * len(clauses), False
+    for i in range(len(clauses) - 1, -1, -1):
+        out[i] = blind
+        x = clauses[i]
+        if isinstance(x, A.Project):
+            calls = [e for item in (*x.items, *x.order) for e in A.walk(item.expr) if isinstance(e, A.Call) and e.name.lower() in AGGREGATES]
+            if calls:
+                blind = all(e.distinct or e.name.lower() in ("min", "max") for e in calls)
+            else:
+                blind = x.distinct or blind and x.skip is None and x.limit is None
+        elif not isinstance(x, (A.Match, A.Unwind, A.CallProc)):
+            blind = False
+    return out
+
+
 def _aggregates(e: A.Expr) -> bool:
     return any(isinstance(x, A.Call) and x.name.lower() in AGGREGATES for x in A.walk(e))
 
@@ -1490,4 +1613,3 @@ def _sort_key(v: Typed, descending: bool) -> Column:
     return col.desc_nulls_first() if descending else col.asc_nulls_last()
 
 
-_ = (NULL, PATH, MISSING)

@@ -170,7 +170,8 @@ case("fn_relationships", "MATCH p = (:Nation)-[:RING*1..2]->() RETURN size(relat
 case("fn_null_arguments", "RETURN abs(null) AS a, toUpper(null) AS b, size(null) AS c, split(null, ',') AS d, left(null, 1) AS e, head(null) AS f, coalesce(null) AS g", "select null::bigint as a, null::varchar as b, null::bigint as c, null::varchar[] as d, null::varchar as e, null::varchar as f, null::varchar as g")
 
 # -- operators on values
-case("literals", "RETURN 0x1F AS a, 0o17 AS b, 1.5e3 AS c, 'it\\'s \\u00e9' AS d, \"q\" AS e, true AS f, null AS g, [1, 2] AS h, `odd name` AS i".replace("`odd name`", "-9223372036854775808"), "select 31::bigint as a, 15::bigint as b, 1500.0::double as c, 'it''s é' as d, 'q' as e, true as f, null::varchar as g, [1, 2]::bigint[] as h, (-9223372036854775808)::bigint as i")
+case("quoted_names", "MATCH (`a node`:Region) WITH `a node`.`r_name` AS `odd name` RETURN `odd name` AS `x``y`", 'select r_name as "x`y" from region')
+case("literals", "RETURN 0x1F AS a, 0o17 AS b, 1.5e3 AS c, 'it\\'s \\u00e9' AS d, \"q\" AS e, true AS f, null AS g, [1, 2] AS h, -9223372036854775808 AS i", "select 31::bigint as a, 15::bigint as b, 1500.0::double as c, 'it''s é' as d, 'q' as e, true as f, null::varchar as g, [1, 2]::bigint[] as h, (-9223372036854775808)::bigint as i")
 case("arith_ops", "MATCH (p:Part) RETURN p.p_partkey AS k, p.p_size / 7 AS a, -p.p_size / 7 AS b, -p.p_size % 7 AS c, p.p_size ^ 2 AS d, p.p_size * 1.5 - 1 AS e, p.p_retailprice / 0.0 AS f, 2 + 3 * 4 AS g", "select p_partkey as k, (p_size // 7)::bigint as a, -(p_size // 7)::bigint as b, -(p_size % 7)::bigint as c, pow(p_size, 2) as d, p_size * 1.5::double - 1 as e, 'inf'::double as f, 14::bigint as g from part")
 case("string_concat", "MATCH (p:Part) RETURN p.p_partkey AS k, p.p_name + p.p_size AS a, p.p_size + p.p_name AS b, p.p_name + null AS c", "select p_partkey as k, p_name || p_size::varchar as a, p_size::varchar || p_name as b, null::varchar as c from part")
 case("list_concat", "MATCH (p:Part) RETURN p.p_partkey AS k, [1] + [p.p_size] AS a, [1] + p.p_size AS b, p.p_size + [1] AS c", "select p_partkey as k, [1, p_size]::bigint[] as a, [1, p_size]::bigint[] as b, [p_size, 1]::bigint[] as c from part")
@@ -191,7 +192,7 @@ case("registry_certificate_sweep", "MATCH (h:Host)-[:HAS_CERT]->(c:Certificate)
 case("registry_orphaned_software", "MATCH (s:Software) WHERE NOT (:Host)-[:RUNS]->(s) RETURN s.name AS name", f"with {_LATEST} select node_key as name from live where label = 'Software' and node_key not in (select dst_key from e where rtype = 'RUNS')", graph="registry")
 case("registry_hosts_by_os", "MATCH (h:Host {os: 'openfen'}) RETURN count(*) AS n", f"with {_LATEST} select count(*) as n from live where label = 'Host' and p['os'] = 'openfen'", graph="registry")
 case("registry_critical_hosts", "MATCH (h:Host)-[:RUNS]->(s:Software)-[:SUPPLIED_BY]->(v:Supplier {country: 'NO'}) WHERE h.criticality >= 4 RETURN count(DISTINCT h) AS hosts", f"with {_LATEST} select count(distinct h.node_key) as hosts from live h join e r on h.label = 'Host' and r.rtype = 'RUNS' and r.src_key = h.node_key join e s on s.rtype = 'SUPPLIED_BY' and s.src_key = r.dst_key join live v on v.label = 'Supplier' and v.node_key = s.dst_key where v.p['country'] = 'NO' and try_cast(h.p['criticality'] as bigint) >= 4", graph="registry")
-case("registry_blast_radius", "MATCH (v:Supplier {country: 'NO'})<-[:SUPPLIED_BY]-(s:Software) OPTIONAL MATCH (d:Software)-[:DEPENDS_ON*0..3]->(s) OPTIONAL MATCH (h:Host)-[:RUNS]->(d) RETURN count(DISTINCT h) AS hosts", f"with {_LATEST}, s0 as (select distinct src_key k from e join live v on v.label = 'Supplier' and v.node_key = dst_key where rtype = 'SUPPLIED_BY' and v.p['country'] = 'NO'), d1 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from s0)), d2 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d1)) select count(distinct src_key) as hosts from e where rtype = 'RUNS' and dst_key in (select k from s0 union select k from d1 union select k from d2)", graph="registry")
+case("registry_blast_radius", "MATCH (v:Supplier {country: 'NO'})<-[:SUPPLIED_BY]-(s:Software) OPTIONAL MATCH (d:Software)-[:DEPENDS_ON*0..3]->(s) OPTIONAL MATCH (h:Host)-[:RUNS]->(d) RETURN count(DISTINCT h) AS hosts", f"with {_LATEST}, s0 as (select distinct src_key k from e join live v on v.label = 'Supplier' and v.node_key = dst_key where rtype = 'SUPPLIED_BY' and v.p['country'] = 'NO'), d1 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from s0)), d2 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d1)), d3 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d2)) select count(distinct src_key) as hosts from e where rtype = 'RUNS' and dst_key in (select k from s0 union select k from d1 union select k from d2 union select k from d3)", graph="registry")
 case("registry_secondary_label", "MATCH (n:Edge) RETURN labels(n)[0] AS l, count(*) AS n", f"with {_LATEST} select label as l, count(*) as n from live where list_contains(sl, 'Edge') group by label", graph="registry")
 case("registry_ancestors", "MATCH (c:Commit)-[:PARENT*1..3]->(a:Commit) RETURN a.id AS id, count(*) AS n", "with p as (select distinct id a, unnest(parents) b from log_entry), p1 as (select a, b from p), p2 as (select x.a, y.b from p x join p y on x.b = y.a), p3 as (select x.a, y.b from p2 x join p y on x.b = y.a) select b as id, count(*) as n from (select * from p1 union all select * from p2 union all select * from p3) group by b", graph="registry")
 
