@@ -19,7 +19,7 @@ PEERS = ("peers", "Host")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = history(table(spark, sf, "node_record"), table(spark, sf, "log_entry"), NODE)
+    found = history(table(spark, sf, "node_record"), table(spark, sf, "log_entry"), NODE, with_properties=False)
     return found.select(*NODE, "valid_from_id", "valid_to_id")
 
 
@@ -195,6 +195,10 @@ lost as (select distinct tbl, period, rec_id, ref_field, ref_key from refs where
   select 1 from graph_node g where g.label = refs.label and g.node_key = refs.ref_key and g.created_at <= refs.recorded_at and (g.deleted_at is null or refs.recorded_at < g.deleted_at)))
 """
 ORACLE = {
+    "p1_history": _P1 + """, v as (select * from e where op = 'put'),
+j as (select v.*, (select r.properties from node_record r where r.label = v.label and r.node_key = v.node_key and r.commit_id = v.id and r.op = 'put' order by r.arrived_at desc limit 1) p from v)
+select label, node_key, ts as valid_from, nat as valid_to,
+  '{' || array_to_string(list_transform(list_sort(list_filter(map_keys(p), lambda k: p[k] is not null)), lambda k: to_json(k)::varchar || ':' || to_json(p[k])::varchar), ',') || '}' as properties from j""",
     "p1_found": _P1 + "select label, node_key, id as valid_from_id, coalesce(nid, '') as valid_to_id from e where op = 'put'",
     "p2_found": _P2,
     "p3_found": _P3,

@@ -99,10 +99,11 @@ def test_as_of(spark):
     assert [value(h) for h in (0, 1, 2, 3, 4, 5)] == [[], ["1"], ["1"], ["3"], ["3"], []]
 
 
-def test_each_attribute_has_intervals_of_its_own(spark):
+@pytest.mark.parametrize("limit", [10**6, 2])
+def test_each_attribute_has_intervals_of_its_own(spark, limit):
     rows = [(1, {"x": "1", "y": "a"}), (2, {"x": "1", "y": "b"}), (3, {"y": "b", "z": None}), (5, {"x": "1", "y": "b"})]
     states = spark.createDataFrame([(f"{c:040x}", "L", "a", "put", p, at(c), 0, 0) for c, p in rows] + [(f"{7:040x}", "L", "a", "delete", None, at(7), 0, 0)], STATES)
-    log = attribute_log(states, commits(spark, 9), KEYS)
+    log = attribute_log(states, commits(spark, 9), KEYS, rows_per_task=limit)
     hour = lambda t: int((t - T0).total_seconds() // 3600)
     got = sorted((r["attr"] or "", r["value"], hour(r["valid_from"]), hour(r["valid_to"])) for r in log.collect())
     assert got == [("", "", 1, 7), ("x", "1", 1, 3), ("x", "1", 5, 7), ("y", "a", 1, 2), ("y", "b", 2, 7)]
