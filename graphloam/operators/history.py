@@ -34,12 +34,23 @@ def unpack_id(col: Column) -> Column:
     return F.when(F.substring(col, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(body))).otherwise(F.decode(body, "UTF-8"))
 
 
-STATE = "array<struct<key:string,value:string>>"
+STATE = "array<string>"
+EVENT = "array<struct<key:string,value:string>>"
 
 
 def _entries(props: Column) -> Column:
-    """Present properties (null values count as absent) in order of name."""
-    return F.coalesce(F.array_sort(F.filter(F.map_entries(props), lambda e: e["value"].isNotNull())), F.array().cast(STATE))
+    """Present properties (null values count as absent) as texts that begin with
+    the length of the name, in order; in shuffles these take half of what
+    structs take."""
+    text = lambda e: F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], e["value"])
+    return F.coalesce(F.array_sort(F.transform(F.filter(F.map_entries(props), lambda e: e["value"].isNotNull()), text)), F.array().cast(STATE))
+
+
+def _parts(entry: Column) -> tuple[Column, Column]:
+    """Name and value of an entry."""
+    n = F.substring_index(entry, ":", 1)
+    at = F.length(n) + 2
+    return F.substring(entry, at, n.cast("int")), F.substring(entry, at + n.cast("int"), F.length(entry))
 
 
 def _timeline(rows: DataFrame, part: list[str]) -> DataFrame:
@@ -61,10 +72,11 @@ def _log(timeline: DataFrame, part: list[str], with_state: bool) -> DataFrame:
     now, was = (F.coalesce(x, F.array().cast(STATE)) for x in ("state", "was"))
     none = F.lit(None).cast("string")
     event = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-    names = lambda x: F.transform(x, lambda e: e["key"])
-    begun = F.array_except(now, was)
-    ended = F.transform(F.array_except(names(was), names(now)), lambda k: event(k, none))
-    exists = F.when(F.col("state").isNull() != F.col("was").isNull(), F.array(event(none, F.when(F.col("state").isNotNull(), "")))).otherwise(F.array().cast(STATE))
+    names = lambda x: F.transform(x, lambda e: _parts(e)[0])
+    timeline = timeline.withColumns({"new": F.array_except(now, was), "old": F.array_except(was, now)})
+    begun = F.transform("new", lambda e: event(*_parts(e)))
+    ended = F.transform(F.array_except(names(F.col("old")), names(F.col("new"))), lambda k: event(k, none))
+    exists = F.when(F.col("state").isNull() != F.col("was").isNull(), F.array(event(none, F.when(F.col("state").isNotNull(), "")))).otherwise(F.array().cast(EVENT))
     events = F.posexplode(F.concat(exists, begun, ended)).alias("i", "e")
     kept = [*part, "at", "commit", *(["own"] if "own" in timeline.columns else [])]
     log = timeline.select(*kept, *(["state"] if with_state else []), events)
@@ -140,7 +152,8 @@ def history(
     found = _between(_cuts(_intervals(log, keys), keys), keys)
     if hot:
         found = found.unionByName(_hot_versions(_hot_log(rows(True), hot, keys, with_properties), keys).select(*found.columns))
-    whole = F.map_from_entries(F.coalesce("state.state", F.array().cast(STATE))).alias("properties")
+    pairs = F.transform(F.coalesce("state.state", F.array().cast(STATE)), lambda e: F.struct(*[x.alias(n) for x, n in zip(_parts(e), ("key", "value"))]))
+    whole = F.map_from_entries(pairs).alias("properties")
     return found.filter("alive").select(
         *keys,
         *([whole] if with_properties else []),
