@@ -1,11 +1,12 @@
 """Rows that fail to parse, with the reason, while the valid rows load.
 
-Records are read in blocks on a columnar path (one CSV read and one cast per
-column for a whole block).  A block that fails is halved, and its halves again,
-until what fails is a few records; those go through a strict reader which names
-the reason.  The columnar path accepts nothing that the strict reader would
-refuse: what a lenient CSV reader lets pass is ruled out beforehand by one
-regular expression over the block.
+Records are read in blocks on a columnar path.  One regular expression over the
+block parts records of a wrong shape from the rest, which one CSV read cuts into
+columns and one cast per column makes typed.  A cast that fails is tried on both
+halves of the block, and on their halves again, with the columns that did
+convert kept, until what fails is a few records; those, and the records of a
+wrong shape, go through a strict reader which names the reason.  The columnar
+path accepts nothing that the strict reader would refuse.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame, functions as F, types as T
 
 MAX_DEFINITIONS = 10_000
-BLOCK_ROWS = 512
+BLOCK_ROWS = 4096
 BLOCK_BYTES = 16 << 20
-LEAF_ROWS = 4
+LEAF_ROWS = 16
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -37,8 +38,22 @@ class Refused(Exception):
     """A block holds a record that does not load; for one record, why."""
 
 
+class _Form:
+    """A way to read records: ``shaped``, ``columns``, ``convert`` and ``fits``
+    for blocks, ``record`` for one by one."""
+
+    def block(self, raw: pa.Array) -> list[pa.Array]:
+        """The typed columns of a whole block, or Refused."""
+        if not self.shaped(raw).all():
+            raise Refused
+        done = [self.convert(k, text) for k, text in enumerate(self.columns(raw))]
+        if not self.fits(done):
+            raise Refused
+        return done
+
+
 @dataclass(frozen=True)
-class Delimited:
+class Delimited(_Form):
     """Records with separated cells, quoted as in RFC 4180, of typed columns."""
 
     sep: str
@@ -52,15 +67,19 @@ class Delimited:
     @property
     def _shape(self) -> str:
         cell = '(?:"(?:[^"]|"")*"|[^"\\r\\n%s]*)' % re.escape(self.sep)
-        return f"\\A{cell}(?:{re.escape(self.sep)}{cell})*\\z"
-
-    def block(self, raw: pa.Array) -> list[pa.Array]:
-        """A column of cells for each name, or Refused."""
-        if raw.null_count or len(self.sep) != 1 or not self.sep.isascii() or self.sep in '"\r\n':
-            raise Refused
-        special = raw.filter(pc.match_substring_regex(raw, '["\\r\\n]'))
-        if len(special) and not pc.all(pc.match_substring_regex(special, self._shape)).as_py():
-            raise Refused
+        more = f"(?:{re.escape(self.sep)}{cell})"
+        # the engine bounds repeat counts, so many columns are written out in parts
+        n = len(self.names) - 1
+        return f"\\A{cell}" + f"{more}{{500}}" * (n // 500) + f"{more}{{{n % 500}}}\\z"
+
+    def shaped(self, raw: pa.Array) -> np.ndarray:
+        """Which records have this form's number of cells, quoted well."""
+        if len(self.sep) != 1 or not self.sep.isascii() or self.sep in '"\r\n' or len(self.names) > 2000:
+            return np.zeros(len(raw), bool)
+        return pc.fill_null(pc.match_substring_regex(raw, self._shape), False).to_numpy(zero_copy_only=False)
+
+    def columns(self, raw: pa.Array) -> list[pa.Array]:
+        """The cells of well-shaped records as columns of text, or Refused."""
         # an empty first record keeps the reader from taking a byte order mark away
         data = (self.sep * (len(self.names) - 1) + "\n" + "\n".join(raw.to_pylist()) + "\n").encode()
         try:
@@ -70,16 +89,24 @@ class Delimited:
                 pcsv.ParseOptions(delimiter=self.sep, newlines_in_values=True, ignore_empty_lines=False),
                 pcsv.ConvertOptions(column_types=dict.fromkeys(self.names, pa.string()), strings_can_be_null=False),
             ).slice(1)
-            if table.num_rows != len(raw):
-                raise Refused
-            return [self._typed(column.combine_chunks(), kind) for column, kind in zip(table.columns, self.types)]
+        except pa.ArrowInvalid:
+            raise Refused from None
+        if table.num_rows != len(raw):
+            raise Refused
+        return [pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], pa.string()) for x in table.columns]
+
+    def fits(self, columns: list[pa.Array]) -> bool:
+        return True
+
+    def convert(self, column: int, text: pa.Array) -> pa.Array:
+        """A column of text as cells of its type, or Refused."""
+        try:
+            return self._typed(text, self.types[column])
         except pa.ArrowInvalid:
             raise Refused from None
 
     @staticmethod
     def _typed(text: pa.Array, kind: str) -> pa.Array:
-        if isinstance(text, pa.ChunkedArray):
-            text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
         none = lambda t: pa.nulls(len(text), t)
         if kind == "string":
             return pa.StructArray.from_arrays([text, none(pa.int64()), none(pa.bool_())], fields=list(CELL))
@@ -156,32 +183,42 @@ class Delimited:
 
 
 @dataclass(frozen=True)
-class Endpoint:
+class Endpoint(_Form):
     """``LABEL=field[,field...]`` with as many fields as the label has key fields."""
 
     labels: tuple[str, ...]
     n_fields: tuple[int, ...]
 
-    def block(self, raw: pa.Array) -> list[pa.Array]:
-        if raw.null_count or not len(self.labels):
-            raise Refused
-        parts = pc.split_pattern(raw, "=", max_splits=1)
-        if not pc.all(pc.equal(pc.list_value_length(parts), 2)).as_py():
-            raise Refused
-        flat = parts.flatten()
-        head, rest = flat.take(pa.array(np.arange(0, len(flat), 2))), flat.take(pa.array(np.arange(1, len(flat), 2)))
-        which = pc.index_in(head, pa.array(self.labels))
-        if which.null_count:
-            raise Refused
-        split = pc.split_pattern(rest, ",")
+    def _numbers(self, labels: pa.Array) -> pa.Array:
+        return pc.index_in(labels, pa.array(self.labels, pa.string()))
+
+    def shaped(self, raw: pa.Array) -> np.ndarray:
+        """Which texts have a = at all."""
+        return pc.fill_null(pc.match_substring(raw, "="), False).to_numpy(zero_copy_only=False)
+
+    def columns(self, raw: pa.Array) -> list[pa.Array]:
+        """What stands before the first = and what after it."""
+        flat = pc.split_pattern(raw, "=", max_splits=1).flatten()
+        return [flat.take(pa.array(np.arange(i, len(flat), 2))) for i in (0, 1)]
+
+    def convert(self, column: int, text: pa.Array) -> pa.Array:
+        """Labels as they are, the rest as lists of fields; Refused if a label is none."""
+        if column == 0:
+            if self._numbers(text).null_count:
+                raise Refused
+            return text
+        split = pc.split_pattern(text, ",")
         row = pc.list_parent_indices(split).to_numpy()
         field = pc.utf8_trim(split.flatten(), WHITE_SPACE)
         full = pc.not_equal(field, "").to_numpy(zero_copy_only=False)
-        kept = np.bincount(row[full], minlength=len(raw))
-        if (kept != np.array(self.n_fields)[which.to_numpy()]).any():
-            raise Refused
+        kept = np.bincount(row[full], minlength=len(text))
         offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]).astype("int32"))
-        return [head, pa.ListArray.from_arrays(offsets, field.filter(pa.array(full)))]
+        return pa.ListArray.from_arrays(offsets, field.filter(pa.array(full)))
+
+    def fits(self, columns: list[pa.Array]) -> bool:
+        """As many fields as the label has key fields, throughout."""
+        need = np.array(self.n_fields, int)[self._numbers(columns[0]).to_numpy()]
+        return bool((pc.list_value_length(columns[1]).to_numpy(zero_copy_only=False) == need).all())
 
     def record(self, raw: str | None) -> list:
         if raw is None:
@@ -198,22 +235,60 @@ class Endpoint:
         return [head, fields]
 
 
-def _bisect(form, raw: pa.Array, lo: int, hi: int, good: list, bad: list) -> None:
-    """Columns of the blocks that load, as (first, end, columns); reasons of the rest."""
-    if hi - lo > LEAF_ROWS:
+@dataclass
+class _Read:
+    """What became of the records of a batch: blocks of typed columns with the
+    places of their records, single records, and reasons."""
+
+    blocks: list[tuple[np.ndarray, list[pa.Array]]]
+    single: list[tuple[int, list]]
+    bad: list[tuple[int, str]]
+
+    def strictly(self, form, raw: pa.Array, places) -> None:
+        for i in places:
+            try:
+                self.single.append((int(i), form.record(raw[int(i)].as_py())))
+            except Refused as why:
+                self.bad.append((int(i), str(why)))
+
+    def block(self, form, raw: pa.Array, lo: int, hi: int) -> None:
+        """The records from *lo* to *hi*."""
+        own = raw.slice(lo, hi - lo)
+        shaped = form.shaped(own)
+        self.strictly(form, raw, lo + np.flatnonzero(~shaped))
+        places = lo + np.flatnonzero(shaped)
+        if len(places):
+            self._cut(form, raw, own.filter(pa.array(shaped)), places)
+
+    def _cut(self, form, raw: pa.Array, own: pa.Array, places: np.ndarray) -> None:
+        """Cut records into columns; halve what the columnar reader refuses."""
         try:
-            good.append((lo, hi, form.block(raw.slice(lo, hi - lo))))
-            return
+            text = form.columns(own)
         except Refused:
-            mid = (lo + hi) // 2
-            _bisect(form, raw, lo, mid, good, bad)
-            _bisect(form, raw, mid, hi, good, bad)
+            if len(places) <= LEAF_ROWS:
+                return self.strictly(form, raw, places)
+            mid = len(places) // 2
+            self._cut(form, raw, own.slice(0, mid), places[:mid])
+            return self._cut(form, raw, own.slice(mid), places[mid:])
+        self._convert(form, raw, text, [None] * len(text), places)
+
+    def _convert(self, form, raw: pa.Array, text: list[pa.Array], done: list, places: np.ndarray) -> None:
+        """Convert the columns that aren't yet; halve the records if one fails."""
+        done, failed = list(done), False
+        for k, column in enumerate(text):
+            if done[k] is None:
+                try:
+                    done[k] = form.convert(k, column)
+                except Refused:
+                    failed = True
+        if not failed and form.fits(done):
+            self.blocks.append((places, done))
             return
-    for i in range(lo, hi):
-        try:
-            good.append((i, i + 1, form.record(raw[i].as_py())))
-        except Refused as why:
-            bad.append((i, str(why)))
+        if len(places) <= LEAF_ROWS:
+            return self.strictly(form, raw, places)
+        mid = len(places) // 2
+        for lo, n in ((0, mid), (mid, len(places) - mid)):
+            self._convert(form, raw, [x.slice(lo, n) for x in text], [None if x is None else x.slice(lo, n) for x in done], places[lo : lo + n])
 
 
 def _blocks(raw: pa.Array) -> Iterator[tuple[int, int]]:
@@ -229,30 +304,32 @@ def _blocks(raw: pa.Array) -> Iterator[tuple[int, int]]:
         yield lo, len(raw)
 
 
-def _delimited_column(form: Delimited, n: int, good: list) -> tuple[np.ndarray, pa.Array]:
-    """Positions and the map of cells of the records that loaded."""
+def _delimited_values(form: Delimited, read: _Read) -> tuple[np.ndarray, pa.Array]:
+    """Places and the maps of cells of the records that loaded."""
     k = len(form.names)
-    at = np.concatenate([np.arange(lo, hi) for lo, hi, _ in good]) if good else np.array([], int)
     items = []
-    for lo, hi, columns in good:
-        if isinstance(columns[0], dict):
-            items.append(pa.array(columns, CELL))
-        else:
-            m = hi - lo
-            items.append(pa.concat_arrays(columns).take(pa.array(np.arange(k * m).reshape(k, m).T.ravel())))
-    flat = pa.concat_arrays(items) if items else pa.array([], CELL)
+    for places, columns in read.blocks:
+        m = len(places)
+        items.append(pa.concat_arrays(columns).take(pa.array(np.arange(k * m).reshape(k, m).T.ravel())))
+    if read.single:
+        items.append(pa.array([cell for _, record in read.single for cell in record], CELL))
+    at = np.concatenate([np.array([], int), *[p for p, _ in read.blocks], np.array([i for i, _ in read.single], int)])
     names = pa.array(form.names).take(pa.array(np.tile(np.arange(k), len(at))))
-    return at, pa.MapArray.from_arrays(pa.array((np.arange(len(at) + 1) * k).astype("int32")), names, flat)
+    return at, pa.MapArray.from_arrays(pa.array((np.arange(len(at) + 1) * k).astype("int32")), names, pa.concat_arrays(items) if items else pa.array([], CELL))
 
 
-def _endpoint_column(form: Endpoint, n: int, good: list) -> tuple[np.ndarray, pa.Array]:
+def _endpoint_values(form: Endpoint, read: _Read) -> tuple[np.ndarray, pa.Array]:
     kind = pa.struct([("label", pa.string()), ("fields", pa.list_(pa.string()))])
-    at = np.concatenate([np.arange(lo, hi) for lo, hi, _ in good]) if good else np.array([], int)
-    parts = [pa.array([{"label": c[0], "fields": c[1]}], kind) if isinstance(c[0], str) else pa.StructArray.from_arrays([c[0], c[1].cast(pa.list_(pa.string()))], fields=list(kind)) for _, _, c in good]
-    return at, pa.concat_arrays(parts) if parts else pa.array([], kind)
+    parts = [pa.StructArray.from_arrays(c, fields=list(kind)) for _, c in read.blocks]
+    parts.append(pa.array([{"label": r[0], "fields": r[1]} for _, r in read.single], kind))
+    return np.concatenate([np.array([], int), *[p for p, _ in read.blocks], np.array([i for i, _ in read.single], int)]), pa.concat_arrays(parts)
+
 
+def _reader(forms: dict, values, value_type: pa.DataType, with_values: bool):
+    def rows(ids: pa.Array, reasons: pa.Array, found) -> pa.RecordBatch:
+        columns = {"id": ids, "reason": reasons} | ({"value": found} if with_values else {})
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-def _reader(forms: dict, build, value_type: pa.DataType):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, which, raw = batch.column(0), batch.column(1), batch.column(2)
@@ -260,27 +337,34 @@ def _reader(forms: dict, build, value_type: pa.DataType):
                 raw = raw.cast(pa.string())
             codes = pc.dictionary_encode(which, null_encoding="encode")
             for code, name in enumerate(codes.dictionary.to_pylist()):
-                rows = np.flatnonzero(codes.indices.to_numpy() == code)
-                if not len(rows):
+                at = np.flatnonzero(codes.indices.to_numpy() == code)
+                if not len(at):
                     continue
-                form, own = forms.get(name), raw.take(pa.array(rows))
-                good: list = []
-                bad: list = []
+                form, own, got = forms.get(name), raw.take(pa.array(at)), _Read([], [], [])
                 if form is None:
-                    bad = [(i, "no definition") for i in range(len(rows))]
+                    got.bad = [(i, "no definition") for i in range(len(at))]
                 else:
                     for lo, hi in _blocks(own):
-                        _bisect(form, own, lo, hi, good, bad)
-                if good:
-                    at, values = build(form, len(rows), good)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[at])), pa.nulls(len(at), pa.string()), values.cast(value_type)], names=["id", "reason", "value"])
-                if bad:
-                    at = np.array([i for i, _ in bad])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[at])), pa.array([r for _, r in bad]), pa.nulls(len(at), value_type)], names=["id", "reason", "value"])
+                        got.block(form, own, lo, hi)
+                if got.blocks or got.single:
+                    if with_values:
+                        good, found = values(form, got)
+                        found = found.cast(value_type)
+                    else:
+                        good, found = np.concatenate([np.array([], int), *[p for p, _ in got.blocks], np.array([i for i, _ in got.single], int)]), None
+                    yield rows(ids.take(pa.array(at[good])), pa.nulls(len(good), pa.string()), found)
+                if got.bad:
+                    bad = np.array([i for i, _ in got.bad])
+                    yield rows(ids.take(pa.array(at[bad])), pa.array([r for _, r in got.bad]), pa.nulls(len(bad), value_type))
 
     return read
 
 
+def _schema(kind: T.DataType, value: str, with_values: bool) -> T.StructType:
+    fields = [T.StructField("id", kind), T.StructField("reason", T.StringType())]
+    return T.StructType(fields + (T._parse_datatype_string(value).fields if with_values else []))
+
+
 def _definitions(df: DataFrame, what: str) -> list:
     """Definitions are few; more than MAX_DEFINITIONS are refused, never cut."""
     rows = df.limit(MAX_DEFINITIONS + 1).collect()
@@ -289,10 +373,11 @@ def _definitions(df: DataFrame, what: str) -> list:
     return rows
 
 
-def parse_lines(lines: DataFrame, feeds: DataFrame, *, row_id: str = "line_id", feed: str = "feed", raw: str = "raw") -> DataFrame:
+def parse_lines(lines: DataFrame, feeds: DataFrame, *, row_id: str = "line_id", feed: str = "feed", raw: str = "raw", with_values: bool = True) -> DataFrame:
     """Every row of *lines* as ``id``, ``reason`` (null: it loads) and
     ``value``, a map from column name to a cell of which ``text``, ``int`` or
-    ``bool`` is set by the column's type (``typed`` makes columns of it).
+    ``bool`` is set by the column's type (``typed`` makes columns of it); all
+    cells are converted without *with_values* too, but not returned.
 
     *feeds* has ``feed, sep, column_names, column_types``.  A null record and a
     line of an unknown or null feed are refused with that reason; an empty
@@ -307,10 +392,10 @@ def parse_lines(lines: DataFrame, feeds: DataFrame, *, row_id: str = "line_id",
         forms[r["feed"]] = Delimited(r["sep"], tuple(r["column_names"]), tuple(r["column_types"]))
     kind = lines.schema[row_id].dataType
     source = lines.select(F.col(row_id).alias("id"), F.col(feed).alias("feed"), F.col(raw).alias("raw"))
-    return source.mapInArrow(_reader(forms, _delimited_column, CELLS), T.StructType([T.StructField("id", kind), T.StructField("reason", T.StringType()), T._parse_datatype_string(f"value {CELLS_DDL}").fields[0]]))
+    return source.mapInArrow(_reader(forms, _delimited_values, CELLS, with_values), _schema(kind, f"value {CELLS_DDL}", with_values))
 
 
-def parse_endpoints(specs: DataFrame, labels: DataFrame, *, row_id: str = "spec_id", spec: str = "spec") -> DataFrame:
+def parse_endpoints(specs: DataFrame, labels: DataFrame, *, row_id: str = "spec_id", spec: str = "spec", with_values: bool = True) -> DataFrame:
     """Every row of *specs* as ``id``, ``reason`` (null: it is usable) and
     ``value``, a struct of ``label`` and ``fields``.
 
@@ -324,7 +409,7 @@ def parse_endpoints(specs: DataFrame, labels: DataFrame, *, row_id: str = "spec_
     kind = specs.schema[row_id].dataType
     value = pa.struct([("label", pa.string()), ("fields", pa.list_(pa.string()))])
     source = specs.select(F.col(row_id).alias("id"), F.lit("").alias("feed"), F.col(spec).alias("raw"))
-    return source.mapInArrow(_reader({"": form}, _endpoint_column, value), T.StructType([T.StructField("id", kind), T.StructField("reason", T.StringType()), T._parse_datatype_string("value struct<label:string,fields:array<string>>").fields[0]]))
+    return source.mapInArrow(_reader({"": form}, _endpoint_values, value, with_values), _schema(kind, "value struct<label:string,fields:array<string>>", with_values))
 
 
 def typed(parsed: DataFrame, names: list[str], types: list[str]) -> DataFrame:

@@ -30,16 +30,16 @@ def p1_history(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*NODE, "valid_from", "valid_to", props.alias("properties"))
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_lines(table(spark, sf, "import_line"), table(spark, sf, "import_feed"))
+def _lines(spark: SparkSession, sf: str, **how) -> DataFrame:
+    return parse_lines(table(spark, sf, "import_line"), table(spark, sf, "import_feed"), **how)
 
 
-def _specs(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_endpoints(table(spark, sf, "endpoint_spec"), table(spark, sf, "label_def"))
+def _specs(spark: SparkSession, sf: str, **how) -> DataFrame:
+    return parse_endpoints(table(spark, sf, "endpoint_spec"), table(spark, sf, "label_def"), **how)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [p.filter("reason is not null").select(F.lit(t).alias("tbl"), F.col("id").alias("row_id")) for t, p in (("import_line", _lines(spark, sf)), ("endpoint_spec", _specs(spark, sf)))]
+    parts = [p.filter("reason is not null").select(F.lit(t).alias("tbl"), F.col("id").alias("row_id")) for t, p in (("import_line", _lines(spark, sf, with_values=False)), ("endpoint_spec", _specs(spark, sf, with_values=False)))]
     return parts[0].unionAll(parts[1]).distinct()
 
 
@@ -201,6 +201,13 @@ select label, node_key, ts as valid_from, nat as valid_to,
   '{' || array_to_string(list_transform(list_sort(list_filter(map_keys(p), lambda k: p[k] is not null)), lambda k: to_json(k)::varchar || ':' || to_json(p[k])::varchar), ',') || '}' as properties from j""",
     "p1_found": _P1 + "select label, node_key, id as valid_from_id, coalesce(nid, '') as valid_to_id from e where op = 'put'",
     "p2_found": _P2,
+    "p2_loaded": _P2.partition("lab as (")[0]
+    + """good as (select s.line_id, f.feed, f.column_names, f.column_types, regexp_extract_all(f.sep || s.raw, '(?s)' || s.esc || '(""" + _CELL.replace("' || esc || '", "' || s.esc || '") + """)', 1) c
+  from shaped s join l on l.line_id = s.line_id join import_feed f on f.feed = l.feed where s.ok and s.line_id not in (select line_id from bad)),
+q as (select feed, unnest(column_names) as "column", unnest(column_types) t, unnest(c) q from good),
+v as (select *, case when q like '"%' then replace(q[2:-2], '""', '"') else q end v from q)
+select feed, "column", count(*) as n, sum(case when t = 'int' then trim(v, ' ')::bigint end)::varchar as int_sum,
+  count(case when t = 'bool' and trim(v, ' ') = 'true' then 1 end) as n_true, sum(case when t = 'string' then length(v) end)::bigint as text_length from v group by feed, "column" """,
     "p3_found": _P3,
     "p4_found": _P4 + "select * from lost",
     "p4_report": _P4
