@@ -6,10 +6,12 @@ all copies by finish time serves the sources in proportion to their weights; a
 source that has no copies left drops out and the others share its part.  The
 mixture is the stretch up to the total budget.
 
-Both running sums go over buckets.  Within a source a bucket is a range of the
-shuffle's hash, which spreads evenly however large the source; over all sources
-it is a range of finish time, in which tokens are about equal by construction.
-Only bucket sums are summed up in order.
+Within a source the running sum goes over buckets, ranges of the shuffle's hash,
+which spread evenly however large the source; there are at most
+``MAX_BUCKETS`` of a pass, and only their sums are summed up in order.  The copies
+of all sources are then sorted by finish time over range partitions of about
+equal size, at most ``MAX_RANGES``; the budget ends in the one in which the sum of
+the partitions before it reaches it.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from graphloam.session import materialize
 
 ROWS_PER_BUCKET = 50_000
 MAX_SOURCES = 10_000
+MAX_BUCKETS = 1 << 12
+MAX_RANGES = 10_000
+ORDER = ["finish", "source", "copy", "doc_id", "n_tokens"]
 
 
 @dataclass
@@ -70,8 +75,8 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
     *sized*: ``doc_id, source, n_tokens``; *targets*: ``source, target_share,
     max_repeats``.  *budget* in tokens; by default the tokens of all sources
     that have a target.  Result: ``doc_id, source, copy`` (1 for the first use),
-    ``n_tokens, finish``, all copies whose running sum by finish time is within
-    the budget.  Each pass over a source is shuffled anew.
+    ``n_tokens, finish``, in order of finish time, all copies whose running sum in
+    that order is within the budget.  Each pass over a source is shuffled anew.
 
     Documents of a null source or one without a target are not mixed in; null
     sizes count as 0; repeated rows are documents of their own.  A source
@@ -88,7 +93,7 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
     for s in sources:
         passes = s.repeats if not s.tokens else min(s.repeats, int(latest * s.weight // s.tokens) + 1)
         if s.rows:
-            plan.append((s.name, s.weight, passes, max(0, (s.rows // rows_per_bucket).bit_length())))
+            plan.append((s.name, s.weight, passes, min((s.rows // rows_per_bucket).bit_length(), MAX_BUCKETS.bit_length() - 1)))
     plan_df = F.broadcast(spark.createDataFrame(plan, "source string, weight double, passes int, bits int"))
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "copy", "doc_id"), 1)
     copies = sized.join(plan_df, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).withColumn("o", order)
@@ -100,20 +105,23 @@ def mixture(sized: DataFrame, targets: DataFrame, *, budget: int | None = None,
     inside = W.partitionBy(*part).orderBy("o", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     served = copies.withColumn("run", F.sum("n_tokens").over(inside)).join(starts, part)
     rows = sum(s.rows * p[2] for s, p in zip((s for s in sources if s.rows), plan))
-    span = latest / max(1, rows // rows_per_bucket) or 1.0
     finish = (F.col("start") + F.col("run")) / F.col("weight")
-    timed = served.select("doc_id", "source", "copy", "n_tokens", finish.alias("finish")).withColumn("slot", F.floor(F.col("finish") / span))
-    timed = materialize(timed, "mixing")
-    # the slot of finish time in which the budget is reached
-    so_far = F.sum("s").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, 0))
-    slots = timed.groupBy("slot").agg(F.sum("n_tokens").alias("s")).withColumn("upto", so_far)
-    over = slots.filter(F.col("upto") > budget).orderBy("slot").limit(1).collect()
-    if not over:
-        return timed.drop("slot")
-    slot, held = over[0]["slot"], over[0]["upto"] - over[0]["s"]
-    last = W.partitionBy("slot").orderBy("finish", "source", "copy", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = timed.filter(F.col("slot") == slot).withColumn("run", F.sum("n_tokens").over(last) + held).filter(F.col("run") <= budget).drop("run")
-    return timed.filter(F.col("slot") < slot).unionByName(edge).drop("slot")
+    timed = served.select("doc_id", "source", "copy", "n_tokens", finish.alias("finish"))
+    ranges = min(MAX_RANGES, rows // rows_per_bucket + 1)
+    ordered = timed.repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER).withColumn("range", F.spark_partition_id())
+    ordered = materialize(ordered, "mixing")
+    # the range in which the budget is reached
+    held, last = 0, None
+    for r in sorted(ordered.groupBy("range").agg(F.sum("n_tokens").alias("s")).collect()):
+        if held + r["s"] > budget:
+            last = r["range"]
+            break
+        held += r["s"]
+    if last is None:
+        return ordered.drop("range").orderBy(*ORDER)
+    within = W.partitionBy("range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    edge = ordered.filter(F.col("range") == last).withColumn("run", F.sum("n_tokens").over(within) + held).filter(F.col("run") <= budget).drop("run")
+    return ordered.filter(F.col("range") < last).unionByName(edge).drop("range").orderBy(*ORDER)
 
 
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:

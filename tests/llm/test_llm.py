@@ -1,13 +1,15 @@
 import array
 import base64
 import random
+import re
+import unicodedata
 from collections import defaultdict
 from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from graphloam.llm import bpe, mixing, repetition
+from graphloam.llm import bpe, lines, mixing, repetition
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -181,3 +183,45 @@ def test_measure_frame(spark):
     got = {r["doc_id"]: (r["n_units"], r["n_repeated"], r["share"]) for r in repetition.measure(df).collect()}
     assert got == {1: (10, 0, 0.0), 2: (20, 10, 0.5), 3: (0, 0, 0.0), 4: (0, 0, 0.0), 5: (39, 26, 26 / 39), 6: (150_000, 149_995, 149_995 / 150_000), 7: (8, 0, 0.0)}
     assert repetition.measure(df.limit(0)).collect() == []
+
+
+# -- line frequency ----------------------------------------------------------
+
+
+def plain_line(line):
+    kept = (c if unicodedata.category(c)[0] in "LNM" else " " for c in line.lower())
+    return re.sub(" +", " ", "".join(kept)).strip(" ")
+
+
+def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
+    rng = random.Random(3)
+    common = ["All rights reserved.", "ALL  rights — reserved", "Menu | Home", ""]
+    rows = [(i, rng.choice(["x", "y", None]), "\n".join(rng.choice([*common, f"own line {i} {j}", f"shared {rng.randrange(8)}"]) for j in range(rng.randrange(6)))) for i in range(80)]
+    rows += [(100, "x", None), (101, "y", ""), (102, None, "Menu\r\nMenu home\r"), (103, "x", "word " * 50_000), (5, "x", rows[5][2] if rows[5][1] == "x" else "All rights reserved"), rows[7]]
+    df = spark.createDataFrame([(*r, 0, "clash") for r in rows], "doc_id bigint, source string, text string, place int, host string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in lines.line_frequency(df, limit=3).collect()}
+    each = {(i, s, p, plain_line(x)) for i, s, t in rows if t is not None for p, x in enumerate(t.replace("\r\n", "\n").replace("\r", "\n").split("\n"))}
+    each = {e for e in each if e[3]}
+    holders = {}
+    for i, s, _, x in each:
+        holders.setdefault((s, x), set()).add(i)
+    want = {}
+    for i in {r[0] for r in rows}:
+        mine = [(len(x), len(holders[s, x]) > 3) for j, s, _, x in each if j == i]
+        total, kept, gone = sum(n for n, _ in mine), sum(n for n, often in mine if not often), sum(often for _, often in mine)
+        want[i] = (len(mine), gone, total, kept, gone > 0 and kept < total * 0.5)
+    assert got == want
+    assert any(w[4] for w in want.values()) and lines.line_frequency(df.limit(0)).collect() == []
+
+
+def test_text_without_frequent_lines(spark):
+    rows = [(i, "h", f"Header\nbody {i}\n\nheader!") for i in range(3)] + [(3, "h", None), (4, "h", "HEADER"), (4, "h", "HEADER")]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.without_frequent_lines(df, limit=2).collect()}
+    assert got == {0: "body 0\n", 1: "body 1\n", 2: "body 2\n", 3: None, 4: ""}
+
+
+def test_mixture_comes_in_order(spark):
+    sized, targets = frames(spark, corpus(400))
+    finish = [r["finish"] for r in mixing.mixture(sized, targets, rows_per_bucket=20, budget=20_000).collect()]
+    assert finish == sorted(finish) and finish
