@@ -168,7 +168,7 @@ def _rows(states, commits, keys, commit, op, properties, arrived, commit_id, com
     """The rows that have a place in the order, of hot or of other entities."""
     log = commits.select(pack_id(F.col(commit_id)).alias("commit"), F.col(committed_at).alias("at")).filter("commit is not null and at is not null").groupBy("commit").agg(F.min("at").alias("at"))
     placed = states.filter(" and ".join(f"`{k}` is not null" for k in [*keys, commit, op]))
-    hot = find_hot(placed.select(*keys), keys, states.count(), rows_per_task)
+    hot = find_hot(placed.select(*keys), keys, rows_per_task)
     when = F.col(arrived) if arrived else F.lit(None).cast("timestamp")
     cols = [pack_id(F.col(commit)).alias("commit"), F.when(F.col(op) == "put", _entries(F.col(properties))).alias("state"), when.alias("arrived")]
 

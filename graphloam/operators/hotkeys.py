@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 MAX_SPLITS = 10_000
 ROWS_PER_TASK = 100_000
@@ -43,14 +43,18 @@ class HotKeys:
         return df.join(F.broadcast(self.frame(df).select(*self.keys)), self.keys, "left_anti") if self.rows else df
 
 
-def find_hot(counted: DataFrame, keys: list[str], total: int, rows_per_task: int = ROWS_PER_TASK) -> HotKeys:
-    """*counted* has the key columns of every row that will be processed."""
-    limit = max(rows_per_task, math.ceil(total / MAX_SPLITS))
+def find_hot(counted: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> HotKeys:
+    """*counted* has the key columns of every row that will be processed; it is
+    read once, for the counts by key and their total.  Fewer than MAX_SPLITS
+    keys can be hot, so the greatest MAX_SPLITS counts tell all of them."""
     schema = T.StructType([counted.schema[k] for k in keys] + [T.StructField("buckets", T.IntegerType())])
-    if total <= limit:  # no key can be hot
+    sums = Observation()
+    per_key = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).observe(sums, F.sum("n").alias("total"))
+    found = per_key.filter(F.col("n") > rows_per_task).orderBy(F.desc("n")).limit(MAX_SPLITS).collect()
+    if not found:
         return HotKeys(keys, [], schema)
-    per_key = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    rows = [(*[r[k] for k in keys], min(MAX_SPLITS, math.ceil(r["n"] / limit))) for r in per_key.collect() if all(r[k] is not None for k in keys)]
+    limit = max(rows_per_task, math.ceil(sums.get["total"] / MAX_SPLITS))
+    rows = [(*[r[k] for k in keys], min(MAX_SPLITS, math.ceil(r["n"] / limit))) for r in found if r["n"] > limit and all(r[k] is not None for k in keys)]
     return HotKeys(keys, rows, schema)
 
 

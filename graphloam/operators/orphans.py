@@ -6,7 +6,7 @@ pass in order of time, per target, holding the latest end of any life begun so
 far.  ``cascade`` goes on down the graph of foreign keys: a record is an orphan
 directly if one of its own references dangles, and inherits it if a record it
 refers to is an orphan; semi-joins repeat from the newest orphans until none is
-added.
+added.  ``orphans`` is both together, from the references on.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from graphloam.operators.hotkeys import BUCKET, ROWS_PER_TASK, carried, find_hot, with_buckets
 from graphloam.session import materialize
 
+SALTS = 16
 FOREVER = "timestamp'9999-12-31 00:00:00'"
 
 
@@ -40,8 +41,7 @@ def dangling(references: DataFrame, lives: DataFrame, keys: list[str], *, at: st
     refs = references.filter(named).select(*keys, F.col(at).alias("t"), F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("is_ref"), *[F.col(c).alias(f"r_{c}") for c in payload])
     spans = lives.filter(named).filter(F.col(begins).isNotNull()).groupBy(*keys, begins).agg(F.max(F.coalesce(F.col(ends), F.expr(FOREVER))).alias("until"))
     spans = spans.select(*keys, F.col(begins).alias("t"), "until", F.lit(0).alias("is_ref"), *nothing)
-    total = references.count() + lives.count()
-    hot = find_hot(references.filter(named).select(*keys).unionAll(lives.filter(named).select(*keys)), keys, total, rows_per_task) if total > rows_per_task else None
+    hot = find_hot(references.filter(named).select(*keys).unionAll(lives.filter(named).select(*keys)), keys, rows_per_task)
     events = refs.unionAll(spans)
 
     def scanned(rows: DataFrame, part: list[str]) -> DataFrame:
@@ -75,27 +75,45 @@ def cascade(direct: DataFrame, links: DataFrame, *, max_rounds: int = 1_000) ->
     (foreign keys that do resolve).  Result: ``tbl, rec_id, kind`` (``direct`` or
     ``inherited``) and ``level`` (0 for direct, else the least number of links to
     a direct orphan).  Cycles end, since a record is added once.  Null ids link
-    nothing; repeated rows count once.  A parent with very many children is only
-    ever the small side of a semi-join on distinct ids.  ``max_rounds`` guards
-    against chains so long that a round per link can't be meant; reaching it
-    raises instead of leaving records out.
+    nothing; repeated rows count once.  The links of a parent are spread over
+    ``SALTS`` salts, under each of which the parent comes once, so no task gets all
+    children of one parent.  ``max_rounds`` guards against chains so long that a
+    round per link can't be meant; reaching it raises instead of leaving
+    records out.
     """
     level = 0
     found = materialize(direct.filter("tbl is not null and rec_id is not null").select("tbl", "rec_id").distinct().withColumn("level", F.lit(0)), "cascade")
     links = links.filter("child_tbl is not null and child_id is not null and parent_tbl is not null and parent_id is not null")
-    links = materialize(links.select("child_tbl", "child_id", "parent_tbl", "parent_id").distinct(), "cascade-links")
+    salt = F.pmod(F.xxhash64("child_tbl", "child_id"), F.lit(SALTS)).cast("int").alias("salt")
+    links = materialize(links.select("child_tbl", "child_id", "parent_tbl", "parent_id", salt).distinct(), "cascade-links")
     frontier = found
     while not frontier.isEmpty():
         level += 1
         if level > max_rounds:
             raise RuntimeError(f"the cascade of orphans goes on after {max_rounds} rounds")
-        parents = frontier.select(F.col("tbl").alias("parent_tbl"), F.col("rec_id").alias("parent_id"))
-        reached = links.join(parents, ["parent_tbl", "parent_id"], "left_semi").select(F.col("child_tbl").alias("tbl"), F.col("child_id").alias("rec_id")).distinct()
+        parents = frontier.select(F.col("tbl").alias("parent_tbl"), F.col("rec_id").alias("parent_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        reached = links.join(parents, ["parent_tbl", "parent_id", "salt"], "left_semi").select(F.col("child_tbl").alias("tbl"), F.col("child_id").alias("rec_id")).distinct()
         frontier = materialize(reached.join(found, ["tbl", "rec_id"], "left_anti").withColumn("level", F.lit(level)), "cascade")
         found = found.unionByName(frontier)
     return found.select("tbl", "rec_id", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"), "level")
 
 
+def orphans(references: DataFrame, lives: DataFrame, keys: list[str], links: DataFrame, *, at: str, begins: str, ends: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """All orphans of the graph of foreign keys, from the references on.
+
+    *references* as for ``dangling``, with ``tbl, rec_id`` of the referring record
+    among its columns; *links* as for ``cascade``.  Level 0 are the references
+    without a target, one row each with all their columns and ``reason``; each
+    further level are the records that refer to an orphan of the level before,
+    with nulls for the columns of a reference.  ``kind`` is ``direct`` or
+    ``inherited``.
+    """
+    lost = materialize(dangling(references, lives, keys, at=at, begins=begins, ends=ends, rows_per_task=rows_per_task), "dangling")
+    found = cascade(lost, links)
+    own = lost.withColumns({"kind": F.lit("direct"), "level": F.lit(0)})
+    return own.unionByName(found.filter("level > 0"), allowMissingColumns=True)
+
+
 def report(direct: DataFrame, orphans: DataFrame, records: DataFrame) -> DataFrame:
     """Per table and period: records, dangling references, records that are
     orphans directly and by inheritance.  *records*: ``tbl, rec_id, period``;

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloam.operators.history import history
-from graphloam.operators.orphans import cascade, dangling, report
+from graphloam.operators.orphans import orphans, report
 from graphloam.operators.quarantine import parse_endpoints, parse_lines
 from graphloam.operators.reconcile import compare_copies
 from graphloam.operators.snapshots import snapshot_changes
@@ -73,14 +73,18 @@ def _edge_refs(edges: DataFrame) -> DataFrame:
     return each.select("tbl", "period", "rec_id", "recorded_at", "r.ref_field", "r.label", "r.node_key")
 
 
-def _dangling(spark: SparkSession, sf: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orphans of both tables, direct and inherited, and all records."""
     refs = _import_refs(table(spark, sf, "import_record")).unionByName(_edge_refs(table(spark, sf, "edge_record")))
-    lost = dangling(refs, table(spark, sf, "graph_node"), NODE, at="recorded_at", begins="created_at", ends="deleted_at")
-    return lost.select("tbl", "period", "rec_id", "ref_field", F.col("node_key").alias("ref_key"), "label", "reason")
+    records, links = _deliveries(spark, sf)
+    found = orphans(refs, table(spark, sf, "graph_node"), NODE, links, at="recorded_at", begins="created_at", ends="deleted_at")
+    return found.withColumnRenamed("node_key", "ref_key"), records
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _dangling(spark, sf).select("tbl", "period", "rec_id", "ref_field", "ref_key").distinct()
+    """Level 0 of the cascade: the references that have no target themselves."""
+    found, _ = _orphans(spark, sf)
+    return found.filter("kind = 'direct'").select("tbl", "period", "rec_id", "ref_field", "ref_key").distinct()
 
 
 def _deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -100,12 +104,9 @@ def _deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Orphans per table and period, direct and inherited down the foreign keys."""
-    records, links = _deliveries(spark, sf)
-    direct = _dangling(spark, sf).select("tbl", "period", "rec_id", "ref_field", "ref_key").distinct()
-    from graphloam.session import materialize
-
-    direct = materialize(direct, "dangling")
-    return report(direct, cascade(direct, links), records)
+    found, records = _orphans(spark, sf)
+    direct = found.filter("kind = 'direct'").select("tbl", "period", "rec_id", "ref_field", "ref_key").distinct()
+    return report(direct, found.select("tbl", "rec_id", "kind").distinct(), records)
 
 
 def _host_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,8 +213,8 @@ select feed, "column", count(*) as n, sum(case when t = 'int' then trim(v, ' '):
     "p4_found": _P4 + "select * from lost",
     "p4_report": _P4
     + """, rec as (select distinct 'import_record' tbl, rec_id, period from import_record union all select distinct 'edge_record', edge_id, period from edge_record),
-par as (select rtype, src.label sl, src.key[1] sk, dst.label dl, dst.key[1] dk, min(recorded_at) ts, arg_min(rec_id, (recorded_at, rec_id)) pid from import_record where kind = 'edge' group by all),
-inh as (select distinct e.edge_id rec_id from edge_record e join par on e.rtype = par.rtype and e.src_label = sl and e.src_key = sk and e.dst_label = dl and e.dst_key = dk and ts <= e.recorded_at
+par as (select distinct rtype, src.label sl, src.key[1] sk, dst.label dl, dst.key[1] dk, discriminator di, recorded_at ts, rec_id pid from import_record where kind = 'edge'),
+inh as (select distinct e.edge_id rec_id from edge_record e join par on e.rtype = par.rtype and e.src_label = sl and e.src_key = sk and e.dst_label = dl and e.dst_key = dk and e.discriminator is not distinct from di and ts <= e.recorded_at
   where pid in (select rec_id from lost where tbl = 'import_record') and e.edge_id not in (select rec_id from lost where tbl = 'edge_record')),
 n as (select tbl, rec_id, count(*) refs from lost group by all)
 select rec.tbl, rec.period, count(*) as n_records, coalesce(sum(n.refs), 0)::bigint as n_dangling_refs, count(n.refs) as n_direct, count(inh.rec_id) as n_inherited

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from graphloam.operators.orphans import cascade, dangling, report
+from graphloam.operators.orphans import cascade, dangling, orphans, report
 
 T0 = datetime(2024, 1, 1)
 REFS = "label string, node_key string, at timestamp, rec int, until string, t int"
@@ -53,3 +53,14 @@ def test_cascade_levels_cycles_and_report(spark):
     assert sorted(tuple(r) for r in report(direct, got, records).collect()) == [("t", "p", 2, 2, 1, 0), ("u", "p", 1, 0, 0, 1), ("u", "q", 1, 0, 0, 1)]
     with pytest.raises(RuntimeError):
         cascade(direct, spark.createDataFrame([("u", i + 1, "u", i) for i in range(5)] + [("u", 0, "t", 1)], "child_tbl string, child_id bigint, parent_tbl string, parent_id bigint"), max_rounds=3)
+
+
+def test_orphans_from_references_down_three_levels(spark):
+    """x refers to nothing, y to x, z to y; w refers to a node that lives."""
+    refs = spark.createDataFrame([("L", "gone", h(1), "t", 1), ("L", "here", h(1), "t", 9), ("L", "gone", h(1), "t", 1)], "label string, node_key string, at timestamp, tbl string, rec_id bigint")
+    lives = spark.createDataFrame([("L", "here", h(0), None)], "label string, node_key string, b timestamp, e timestamp")
+    links = spark.createDataFrame([("u", 2, "t", 1), ("v", 3, "u", 2), ("w", 4, "v", 3), ("w", 5, "t", 9)], "child_tbl string, child_id bigint, parent_tbl string, parent_id bigint")
+    got = orphans(refs, lives, ["label", "node_key"], links, at="at", begins="b", ends="e")
+    assert sorted({(r["tbl"], r["rec_id"], r["node_key"], r["reason"], r["kind"], r["level"]) for r in got.collect()}) == [("t", 1, "gone", "missing", "direct", 0), ("u", 2, None, None, "inherited", 1), ("v", 3, None, None, "inherited", 2), ("w", 4, None, None, "inherited", 3)]
+    none = orphans(refs.limit(0), lives, ["label", "node_key"], links, at="at", begins="b", ends="e")
+    assert none.collect() == []
