@@ -92,7 +92,7 @@ def cascade(direct: DataFrame, links: DataFrame, *, max_rounds: int = 1_000) ->
         if level > max_rounds:
             raise RuntimeError(f"the cascade of orphans goes on after {max_rounds} rounds")
         parents = frontier.select(F.col("tbl").alias("parent_tbl"), F.col("rec_id").alias("parent_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        reached = links.join(parents, ["parent_tbl", "parent_id", "salt"], "left_semi").select(F.col("child_tbl").alias("tbl"), F.col("child_id").alias("rec_id")).distinct()
+        reached = links.join(parents.hint("merge"), ["parent_tbl", "parent_id", "salt"], "left_semi").select(F.col("child_tbl").alias("tbl"), F.col("child_id").alias("rec_id")).distinct()
         frontier = materialize(reached.join(found, ["tbl", "rec_id"], "left_anti").withColumn("level", F.lit(level)), "cascade")
         found = found.unionByName(frontier)
     return found.select("tbl", "rec_id", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind"), "level")

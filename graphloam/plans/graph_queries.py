@@ -18,7 +18,7 @@ class Case:
     graph: str = "trade"
 
     def run(self, spark: SparkSession, sf: str) -> DataFrame:
-        return GraphSession(getattr(graphs, self.graph)(spark, sf)).run(self.cypher, self.params)
+        return GraphSession(graphs.opened(self.graph, spark, sf)).run(self.cypher, self.params)
 
 
 CASES: dict[str, Case] = {}

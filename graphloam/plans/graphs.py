@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloam.cypher.graph import DST, EID, KEY, LABELS, SRC, Graph, NodeTable, RelTable
 from graphloam.sources.tables import table
 
 
+_OPEN: dict[tuple, Graph] = {}
+
+
+def opened(name: str, spark: SparkSession, sf: str) -> Graph:
+    """A graph by name, put together once per session while its files stay as they are."""
+    local = sf.removeprefix("file://")
+    if not os.path.isdir(local):
+        return BY_NAME[name](spark, sf)
+    stats = tuple(sorted((f.name, f.stat().st_mtime_ns, f.stat().st_size) for f in os.scandir(local)))
+    key = (spark.sparkContext.applicationId, name, sf, stats)
+    if key not in _OPEN:
+        _OPEN[key] = BY_NAME[name](spark, sf)
+    return _OPEN[key]
+
+
 def keyed(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(KEY, F.col(key).cast("bigint"))
 
@@ -79,3 +96,6 @@ def registry(spark: SparkSession, sf: str) -> Graph:
     parents = log.groupBy("id").agg(F.first("parents").alias("p")).select(F.col("id").alias(SRC), F.explode("p").alias(DST)).distinct()
     rels.append(RelTable("PARENT", "Commit", "Commit", parents.select(SRC, DST, F.concat_ws(">", SRC, DST).alias(EID))))
     return Graph(spark, nodes, rels)
+
+
+BY_NAME = {"trade": trade, "registry": registry}

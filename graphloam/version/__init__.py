@@ -1 +1 @@
-
+"""Versioned graphs: immutable tables, commits, branches, differences, merges."""
