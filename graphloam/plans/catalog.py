@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloam.plans import graph_queries, problems
+from graphloam.plans import graph_queries, problems, version_queries
 
-MODULES = (problems, graph_queries)
+MODULES = (problems, graph_queries, version_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
