@@ -1269,9 +1269,7 @@ class Pattern:
             self.extra += own
         self._attach(na, a, near)
         self._attach(nb, b, far)
-        for other in self.used:
-            self._distinct_from(binding, other)
-        self.used.append(binding)
+        self._use(binding, rel)
         if rel.var:
             if rel.var in self.outer:
                 if not isinstance(self.outer[rel.var], Rel):
@@ -1326,8 +1324,15 @@ class Pattern:
         for cond in self._prop_conditions(node, n.props):
             self._filter_or_defer(cond, n.props)
 
+    def _use(self, binding, rel: A.RelPat) -> None:
+        """No relationship twice within a clause; of different types none is."""
+        types = set(rel.types) or set(self.graph.types)
+        for other, others in self.used:
+            if types & others:
+                self._distinct_from(binding, other)
+        self.used.append((binding, types))
+
     def _distinct_from(self, mine, other) -> None:
-        """No relationship twice within a clause."""
         if isinstance(mine, Rel) and isinstance(other, Rel):
             if {t.type for t in mine.tables} & {t.type for t in other.tables}:
                 self.df = self.df.filter(~((c(f"{mine.prefix}_t") == c(f"{other.prefix}_t")) & (c(f"{mine.prefix}_id") == c(f"{other.prefix}_id"))))
@@ -1378,7 +1383,7 @@ class Pattern:
         rel_col = self.k.fresh(rel.var or "rels")
         binding = Value(rel_col, list_of(item.type))
         cols = [c(f"{p}_n_l").alias("e.nl"), c(f"{p}_n_k").alias("e.nk"), c(f"{p}_f_l").alias("e.fl"), c(f"{p}_f_k").alias("e.fk")]
-        edges = edges.select(*cols).distinct() if ends_only else edges.select(*cols, item.col.alias("e.rel"))
+        edges = edges.select(*cols) if ends_only else edges.select(*cols, item.col.alias("e.rel"))
         # the frame to start from
         if na not in self.nodes:
             if na in self.outer:
@@ -1414,9 +1419,7 @@ class Pattern:
             fresh = Node(end, labels)
             self.nodes[nb] = fresh
             self._attach(nb, b, fresh)
-        for other in self.used:
-            self._distinct_from(binding, other)
-        self.used.append(binding)
+        self._use(binding, rel)
         if rel.var:
             self.new[rel.var] = binding
         return binding
@@ -1466,24 +1469,41 @@ class Pattern:
 
     def _unrolled(self, base: DataFrame, edges: DataFrame, rel_col: str, end: str, lo: int, hi: int, ends_only: bool) -> DataFrame:
         """One join per hop, the frames of all allowed lengths together."""
+        if ends_only:
+            return self._reached(base, edges, end, lo, hi)
         out, now = [], base
         if lo == 0:
             out.append(now)
         for hop in range(1, hi + 1):
             on = (c(f"{end}_l") == c("e.nl")) & (c(f"{end}_k") == c("e.nk"))
             now = now.join(edges, on)
-            if ends_only:
-                now = now.withColumns({f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop("e.nl", "e.nk", "e.fl", "e.fk").distinct()
-            else:
-                if hop > 1:
-                    now = now.filter(~F.exists(c(rel_col), lambda r: (r["_l"] == c("e.rel")["_l"]) & (r["_k"] == c("e.rel")["_k"])))
-                now = now.withColumns({rel_col: F.concat(c(rel_col), F.array(c("e.rel"))), f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop("e.nl", "e.nk", "e.fl", "e.fk", "e.rel")
+            if hop > 1:
+                now = now.filter(~F.exists(c(rel_col), lambda r: (r["_l"] == c("e.rel")["_l"]) & (r["_k"] == c("e.rel")["_k"])))
+            now = now.withColumns({rel_col: F.concat(c(rel_col), F.array(c("e.rel"))), f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop("e.nl", "e.nk", "e.fl", "e.fk", "e.rel")
             if hop >= lo:
                 out.append(now)
         result = out[0]
         for f in out[1:]:
             result = result.unionByName(f)
-        return result.distinct() if ends_only and len(out) > 1 else result
+        return result
+
+    @staticmethod
+    def _reached(base: DataFrame, edges: DataFrame, end: str, lo: int, hi: int) -> DataFrame:
+        """The ends within *hi* hops as one chain of joins: each hop keeps the
+        end it starts from beside those it leads to, and doubles go at once."""
+        on = (c(f"{end}_l") == c("e.nl")) & (c(f"{end}_k") == c("e.nk"))
+        spent = ("e.nl", "e.nk", "e.fl", "e.fk")
+        now = base
+        for hop in range(1, hi + 1):
+            if hop == 1 and lo == 1:
+                now = now.join(edges, on).withColumns({f"{end}_l": c("e.fl"), f"{end}_k": c("e.fk")}).drop(*spent)
+            else:
+                own, far = (F.struct(c(x).alias("l"), c(y).alias("k")) for x, y in ((f"{end}_l", f"{end}_k"), ("e.fl", "e.fk")))
+                both = F.when(c("e.fk").isNull(), F.array(own)).otherwise(F.array(own, far))
+                now = now.join(edges, on, "left").withColumn("e.at", F.explode(both))
+                now = now.withColumns({f"{end}_l": c("e.at")["l"], f"{end}_k": c("e.at")["k"]}).drop(*spent, "e.at")
+            now = now.distinct()
+        return now
 
     def _looped(self, base: DataFrame, edges: DataFrame, rel_col: str, end: str, start: Node, lo: int, hi: int | None, ends_only: bool) -> DataFrame:
         """Walks of any length: the newest ones, as a written table, grow by one
