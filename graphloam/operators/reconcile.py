@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from graphloam.operators import gf61
 from graphloam.session import materialize
 
 RECORDS_PER_BUCKET = 64
+STEPS_PER_TASK = 2_500_000
+MAX_TASKS = 10_000
 FIRST_BOUND = 16
 CHECKS = 2
 HASH_BITS = 60  # points of evaluation lie above every hash
@@ -190,14 +193,12 @@ def interpolate(na: np.ndarray, nb: np.ndarray, va: np.ndarray, vb: np.ndarray,
             spare = da + db - rank
             ok &= consistent & (spare <= np.minimum(da, db))
             da, db = np.where(ok, da - spare, 0), np.where(ok, db - spare, 0)
-            width = matrix.shape[2]
     ok &= consistent & (rank == da + db)
     wa = int(da.max(initial=0))
     p, q = solution[:, :wa], solution[:, wa:]
     for i in range(bound, bound + CHECKS):
         x = np.full(count, z[i])
         ok &= gf61.mul(gf61.horner(p, da, x), vb[:, i]) == gf61.mul(gf61.horner(q, db, x), va[:, i])
-    del width
     return ok, p, da, q, db
 
 
@@ -231,18 +232,22 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 1, 2)], names=["bucket", "ours", "h"]).filter(pa.array(root & (degree > 0)))
 
 
-def differing(elements: DataFrame, *, first_bound: int = FIRST_BOUND) -> DataFrame:
+def differing(elements: DataFrame, buckets: int | None = None, *, first_bound: int = FIRST_BOUND) -> DataFrame:
     """Elements (``bucket, ours, h``; each at most once) that one side alone has.
 
     Every round gathers ``bound`` values for each bucket that isn't solved yet.
     A bucket is solved when both check points hold and when each polynomial has
     as many roots among the rows as its degree.  Its bound can't pass the number
-    of its rows on both sides, at which every quotient is determined.
+    of its rows on both sides, at which every quotient is determined.  Solving
+    takes bound^3 steps a bucket, so the number of buckets (*buckets*, or
+    counted) and the bound, not bytes, give the number of tasks.
     """
+    buckets = elements.select("bucket").distinct().count() if buckets is None else buckets
     bound, pending, found = first_bound, elements, None
     while True:
         partial = pending.select("bucket", "ours", "h").mapInArrow(_evaluated(bound), "bucket bigint, ours boolean, n bigint, vals array<bigint>")
-        gathered = partial.groupBy("bucket").agg(F.collect_list(F.struct("ours", "n", "vals")).alias("parts"))
+        tasks = min(MAX_TASKS, max(1, math.ceil(buckets * bound**3 / STEPS_PER_TASK)))
+        gathered = partial.repartition(tasks, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("ours", "n", "vals")).alias("parts"))
         solved = materialize(gathered.mapInArrow(_solved(bound), "bucket bigint, ok boolean, p array<bigint>, q array<bigint>"), "reconcile-solved")
         with_poly = pending.join(solved.filter("ok and (size(p) > 0 or size(q) > 0)"), "bucket").select("bucket", "ours", "h", F.when(F.col("ours"), F.col("p")).otherwise(F.col("q")).alias("poly"))
         roots = materialize(with_poly.mapInArrow(_rooted, "bucket bigint, ours boolean, h bigint"), "reconcile-roots")
@@ -252,7 +257,8 @@ def differing(elements: DataFrame, *, first_bound: int = FIRST_BOUND) -> DataFra
         good = roots.join(checked.filter("ok"), "bucket", "left_semi")
         found = good if found is None else found.unionByName(good)
         open_buckets = checked.filter("not ok")
-        if open_buckets.isEmpty():
+        buckets = open_buckets.count()
+        if not buckets:
             return found
         bound *= 2
         pending = materialize(pending.join(open_buckets, "bucket", "left_semi"), "reconcile-pending")
@@ -288,7 +294,7 @@ def compare_copies(
     latest = hashed.groupBy("side", "label", "rec_key").agg(F.max(F.struct("loaded", "h"))["h"].alias("h"))
     elements = latest.select(F.pmod(F.xxhash64("label", "rec_key"), F.lit(buckets)).alias("bucket"), (F.col("side") == ours).alias("ours"), "h", "label", "rec_key")
     elements = materialize(elements.repartition("bucket").sortWithinPartitions("bucket"), "reconcile-elements")
-    lost = differing(elements, first_bound=first_bound)
+    lost = differing(elements, buckets, first_bound=first_bound)
     # fetch what differs, with the base beside it
     wanted = elements.join(lost, ["bucket", "ours", "h"], "left_semi").select("label", "rec_key").distinct()
     fetched = rows.filter(F.col("side").isin(ours, theirs, base)).join(wanted, ["label", "rec_key"], "left_semi").select("side", "label", "rec_key", "rec", "loaded")

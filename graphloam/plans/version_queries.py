@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloam.cypher.graph import KEY
 from graphloam.plans import graphs
-from graphloam.session import shared_dir
+from graphloam.session import scratch
 from graphloam.sinks.exports import change_report, export_edges as edges_of, export_nodes as nodes_of
 from graphloam.sources.tables import table
 from graphloam.version.compare import Merged, diff, merge
@@ -76,10 +76,8 @@ def export_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def _repo(spark: SparkSession, sf: str) -> GraphRepo:
     """Base and *ours* as two commits of one repository, tagged v1 and v2."""
-    import uuid
-
     base, ours, _ = versions(spark, sf)
-    repo = GraphRepo(spark, f"{shared_dir(spark)}/graphloam-repo-{uuid.uuid4().hex}")
+    repo = GraphRepo(spark, scratch(spark, "repo"))
     repo.declare_label("Order", ORDER)
     m = repo.workspace
     repo.put_nodes(m, "Order", base)

@@ -58,9 +58,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write *df* once as a table in the shared folder and read it back.
 
     Cuts lineage (a lost executor never makes the work above start again),
-    lets several consumers read one result, and keeps column pruning.
+    lets several consumers read one result, and keeps column pruning.  The
+    tables of an application lie in one folder, which ``release`` deletes and
+    the end of the driver's process too.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloam-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the application's folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/graphloam-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_release_at_exit, spark, path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that read
+    them must have been written or collected."""
+    path = f"{shared_dir(spark)}/graphloam-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _release_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: nothing can reach the folder any more
+        return
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the process ends; what is left is named after the application
+        pass
