@@ -195,6 +195,7 @@ case("registry_critical_hosts", "MATCH (h:Host)-[:RUNS]->(s:Software)-[:SUPPLIED
 case("registry_blast_radius", "MATCH (v:Supplier {country: 'NO'})<-[:SUPPLIED_BY]-(s:Software) OPTIONAL MATCH (d:Software)-[:DEPENDS_ON*0..3]->(s) OPTIONAL MATCH (h:Host)-[:RUNS]->(d) RETURN count(DISTINCT h) AS hosts", f"with {_LATEST}, s0 as (select distinct src_key k from e join live v on v.label = 'Supplier' and v.node_key = dst_key where rtype = 'SUPPLIED_BY' and v.p['country'] = 'NO'), d1 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from s0)), d2 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d1)), d3 as (select distinct src_key k from e where rtype = 'DEPENDS_ON' and dst_key in (select k from d2)) select count(distinct src_key) as hosts from e where rtype = 'RUNS' and dst_key in (select k from s0 union select k from d1 union select k from d2 union select k from d3)", graph="registry")
 case("registry_secondary_label", "MATCH (n:Edge) RETURN labels(n)[0] AS l, count(*) AS n", f"with {_LATEST} select label as l, count(*) as n from live where list_contains(sl, 'Edge') group by label", graph="registry")
 case("registry_ancestors", "MATCH (c:Commit)-[:PARENT*1..3]->(a:Commit) RETURN a.id AS id, count(*) AS n", "with p as (select distinct id a, unnest(parents) b from log_entry), p1 as (select a, b from p), p2 as (select x.a, y.b from p x join p y on x.b = y.a), p3 as (select x.a, y.b from p2 x join p y on x.b = y.a) select b as id, count(*) as n from (select * from p1 union all select * from p2 union all select * from p3) group by b", graph="registry")
+case("registry_kin", "MATCH (c:Commit)-[:PARENT*1..2]-(a:Commit) RETURN a.id AS id, count(*) AS n", "with p as (select distinct id a, unnest(parents) b from log_entry), u as (select a x, b y, a || '>' || b e from p union all select b, a, a || '>' || b from p where a <> b), w as (select x, y from u union all select u.x, v.y from u join u v on u.y = v.x and u.e <> v.e) select y as id, count(*) as n from w group by y", graph="registry")
 
 
 FLAGSHIP = Case(
