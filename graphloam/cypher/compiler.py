@@ -740,8 +740,7 @@ class Compiler:
         outer = dict(self.scope)
         p = Pattern(self, outer, optional=m.optional)
         p.rels = [r for path in m.paths for r in path.rels]
-        for path in m.paths:
-            p.add(path)
+        p.add(*m.paths)
         inner = p.inner_scope()
         if not m.optional:
             if p.df is not None:
@@ -1080,7 +1079,15 @@ class Pattern:
         else:
             self.df = self.df.join(df, _all(on)) if on else self.df.crossJoin(df)
 
-    def add(self, path: A.Path) -> None:
+    def add(self, *paths: A.Path) -> None:
+        order = self._order(paths)
+        if order is not None:
+            self._add_in_order(paths, order)
+            return
+        for path in paths:
+            self._add(path)
+
+    def _check(self, path: A.Path) -> None:
         g = self.graph
         for n in path.nodes:
             for label in n.labels:
@@ -1090,11 +1097,17 @@ class Pattern:
                 g.check_type(t)
         if path.var and (path.var in self.outer or path.var in self.new):
             raise BindError(f"variable {path.var} is already bound")
+
+    def _enter(self, path: A.Path) -> None:
+        self.named = path.var is not None
+        self.whole = bool(path.var and self.k.needs and {ALL} & (self.k.needs.get(path.var) | self.k.needs.get(ALL)))
+
+    def _add(self, path: A.Path) -> None:
+        self._check(path)
         bound_nodes: list[Node] = []
         bound_rels: list = []
         first = self._node_name(path.nodes[0])
-        self.named = path.var is not None
-        self.whole = bool(path.var and self.k.needs and {ALL} & (self.k.needs.get(path.var) | self.k.needs.get(ALL)))
+        self._enter(path)
         if not path.rels:
             bound_nodes.append(self._alone(first, path.nodes[0]))
         else:
@@ -1110,6 +1123,92 @@ class Pattern:
         if path.var:
             self.new[path.var] = Path(tuple(bound_nodes), tuple(bound_rels), self.k.fresh(path.var))
 
+    def _add_in_order(self, paths: tuple[A.Path, ...], order: list[tuple[int, int]]) -> None:
+        for path in paths:
+            self._check(path)
+        names = [[self._node_name(n) for n in path.nodes] for path in paths]
+        rels: dict[tuple[int, int], Rel] = {}
+        for i, j in order:
+            path = paths[i]
+            self._enter(path)
+            rels[i, j] = self._hop(names[i][j], path.nodes[j], path.rels[j], names[i][j + 1], path.nodes[j + 1])
+        written: list[str | None] = []
+        for i, path in enumerate(paths):
+            self._enter(path)
+            if not path.rels:
+                self._alone(names[i][0], path.nodes[0])
+            if path.var:
+                bound = tuple(self.outer.get(n) or self.nodes[n] for n in names[i])
+                self.new[path.var] = Path(bound, tuple(rels[i, j] for j in range(len(path.rels))), self.k.fresh(path.var))
+            hops = zip(path.nodes[1:], path.rels)
+            written += [path.nodes[0].var, *[x.var for hop in hops for x in hop], path.var]
+        self.whole = False
+        self.new = {n: self.new[n] for n in dict.fromkeys(written) if n in self.new}
+
+    def _order(self, paths: tuple[A.Path, ...]) -> list[tuple[int, int]] | None:
+        """The hops, by path and place, in an order that multiplies rows less
+        often than the written one; None if there is none.
+
+        A hop multiplies rows if it leads to a new node from one that neither
+        has just one such relationship nor is the key of the rows so far: two
+        customers' suppliers in one nation are all pairs of them.  A hop between
+        two nodes in the frame takes that back.  By this alone rows stay within
+        the largest table where that is possible, whatever the sizes.
+        """
+        hops = [(i, j) for i, path in enumerate(paths) for j in range(len(path.rels))]
+        if len(hops) < 3 or not self._any_order(paths):
+            return None
+        ends: dict[tuple[int, int], tuple] = {}
+        once: dict[tuple[int, int], set] = {}  # ends that have one relationship at most
+        for i, j in hops:
+            a, rel, b = paths[i].nodes[j], paths[i].rels[j], paths[i].nodes[j + 1]
+            na, nb = ends[i, j] = a.var or (i, j), b.var or (i, j + 1)
+            forward, backward = self._tables(rel, a, b, a.var or "", b.var or "")
+            once[i, j] = set()
+            if len(forward) + len(backward) == 1:
+                by_end = {"src": na, "dst": nb} if forward else {"src": nb, "dst": na}
+                once[i, j] = {by_end[end] for end in (forward or backward)[0].once}
+
+        def kind(hop: tuple[int, int], bound: set, keys: set) -> int:
+            """0: between bound nodes, 1: one relationship a row, 2: from the key, 3: all pairs, 4: unconnected."""
+            near = bound & set(ends[hop])
+            if bound >= set(ends[hop]):
+                return 0
+            return 4 if not near else 1 if near & once[hop] else 2 if near & keys else 3
+
+        def weighed(first: list[tuple[int, int]]) -> tuple[tuple[int, int], list[tuple[int, int]]]:
+            """*first*, then always the hop that costs least; the most that rows
+            are multiplied at a time, and how often they are."""
+            order, bound, keys, now, most, times = first[:1], set(ends[first[0]]), once[first[0]], 0, 0, 0
+            left = [hop for hop in hops if hop != first[0]]
+            while left:
+                hop = first[len(order)] if len(order) < len(first) else min(left, key=lambda h: kind(h, bound, keys))
+                k, near = kind(hop, bound, keys), bound & set(ends[hop])
+                if k == 0:
+                    now, keys = max(0, now - 1), keys if once[hop] else set()
+                elif k == 1:
+                    keys = keys | once[hop] if near & keys else keys
+                elif k == 2:
+                    keys = once[hop]
+                else:
+                    now, keys, times = now + 1, set(), times + 1
+                most, bound = max(most, now), bound | set(ends[hop])
+                order.append(hop)
+                left.remove(hop)
+            return (most, times), order
+
+        cost, order = min((weighed([hop]) for hop in hops), key=lambda x: x[0])
+        return order if cost < weighed(hops)[0] else None
+
+    def _any_order(self, paths: tuple[A.Path, ...]) -> bool:
+        """Nothing in the paths depends on what was added before it."""
+        nodes, rels = ([x for path in paths for x in parts(path)] for parts in (lambda p: p.nodes, lambda p: p.rels))
+        single = [x.var for x in (*rels, *paths) if x.var]
+        if len(set(single)) < len(single) or set(single) & {n.var for n in nodes} or any(r.hops is not None for r in rels):
+            return False
+        maps = [x.props for x in (*nodes, *rels) if x.props is not None]
+        return all(isinstance(m, A.MapLit) and not any(isinstance(x, A.Path) or isinstance(x, A.Var) and x.name not in self.outer for x in A.walk(m)) for m in maps)
+
     def _node_name(self, n: A.NodePat) -> str:
         if n.var is None:
             return f" {next(self.anonymous)}"

@@ -35,13 +35,16 @@ class NodeTable:
 @dataclass(frozen=True)
 class RelTable:
     """``_src`` and ``_dst`` refer to ``_k`` of the endpoint labels; ``_id`` is
-    unique within the type; all other columns are properties."""
+    unique within the type; all other columns are properties.  ``once`` names
+    the ends, src or dst, that no two rows share; only the order of joins, no
+    result, depends on it."""
 
     type: str
     src_label: str
     dst_label: str
     df: DataFrame
     discriminator: str | None = None
+    once: tuple[str, ...] = ()
 
     @property
     def props(self) -> dict[str, S.DataType]:

@@ -48,14 +48,14 @@ def trade(spark: SparkSession, sf: str) -> Graph:
     props = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     ring = t("nation").select(F.col("n_nationkey").cast("bigint").alias(SRC), ((F.col("n_nationkey") + 1) % 25).cast("bigint").alias(DST), F.col("n_nationkey").cast("bigint").alias(EID))
     rels = [
-        RelTable("IN_REGION", "Nation", "Region", edges(t("nation"), "n_nationkey", "n_regionkey", "n_nationkey")),
-        RelTable("LIVES_IN", "Customer", "Nation", edges(t("customer"), "c_custkey", "c_nationkey", "c_custkey")),
-        RelTable("BASED_IN", "Supplier", "Nation", edges(t("supplier"), "s_suppkey", "s_nationkey", "s_suppkey")),
-        RelTable("PLACED", "Customer", "Order", edges(t("orders"), "o_custkey", "o_orderkey", "o_orderkey", "o_orderdate")),
+        RelTable("IN_REGION", "Nation", "Region", edges(t("nation"), "n_nationkey", "n_regionkey", "n_nationkey"), once=("src",)),
+        RelTable("LIVES_IN", "Customer", "Nation", edges(t("customer"), "c_custkey", "c_nationkey", "c_custkey"), once=("src",)),
+        RelTable("BASED_IN", "Supplier", "Nation", edges(t("supplier"), "s_suppkey", "s_nationkey", "s_suppkey"), once=("src",)),
+        RelTable("PLACED", "Customer", "Order", edges(t("orders"), "o_custkey", "o_orderkey", "o_orderkey", "o_orderdate"), once=("dst",)),
         RelTable("CONTAINS", "Order", "Part", edges(lines, "l_orderkey", "l_partkey", EID, *props)),
         RelTable("SHIPPED_BY", "Order", "Supplier", edges(lines, "l_orderkey", "l_suppkey", EID, *props)),
-        RelTable("DID", "Customer", "Event", edges(t("events"), "user_id", "event_id", "event_id")),
-        RelTable("RING", "Nation", "Nation", ring),
+        RelTable("DID", "Customer", "Event", edges(t("events"), "user_id", "event_id", "event_id"), once=("dst",)),
+        RelTable("RING", "Nation", "Nation", ring, once=("src", "dst")),
     ]
     return Graph(spark, tables, rels)
 
